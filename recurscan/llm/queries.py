@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, lz, packing
 from .common import documents
 
 
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.compare_with_next(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids_crc32 is that of the piece's ids, 4 bytes each, little-endian."""
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe}
+    return {f.__name__: f for f in (op4_lz_fingerprint, op5_bpe, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
