@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lz, packing
+from . import bpe, jaccard, lz, packing, substring
 from .common import documents
 
 
@@ -25,6 +25,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids_crc32 is that of the piece's ids, 4 bytes each, little-endian."""
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -32,7 +37,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op4_lz_fingerprint, op5_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op4_lz_fingerprint, op5_bpe, op8_substring_dedup, op9_packing)}
 
 
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -56,5 +61,21 @@ FROM sets JOIN (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id) ON
 """
 
 
+OP8_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, coalesce({SQL_WORDS.format(text="text")}, []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM windows) WHERE least < doc_id
+), lost AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, w, coalesce(len(ps), 0) AS n, list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)) AS k FROM words LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op8_substring_dedup": OP8_SQL}
