@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lz, packing, substring
+from . import ann, bpe, jaccard, lz, packing, substring
 from .common import documents
 
 
@@ -16,6 +16,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.compare_with_next(documents(spark, sf_dir))
 
@@ -37,7 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op4_lz_fingerprint, op5_bpe, op8_substring_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op8_substring_dedup, op9_packing)}
 
 
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
