@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, lz, packing, substring
+from . import ann, bpe, chat, jaccard, lz, packing, substring
 from .common import documents
 
 
@@ -41,8 +41,26 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row is a turn of its own, also where two rows have one turn number."""
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    rows = told.unionByName(more).repartition("conv_id")
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    events = rows.withColumn("seq", at).withColumn("turn", F.col("seq")).withColumn("kind", F.lit("message"))
+    back = chat.read_back(chat.render(chat.reconstruct(events)))
+    each = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(each, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op8_substring_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op8_substring_dedup, op9_packing, op10_chat_format)}
 
 
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -82,5 +100,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed
 """
 
 
+OP10_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+         sum(15 + length(role) + length(text) + length(regexp_replace(role, '[^\\\\#<\n]', '', 'g')) + length(regexp_replace(text, '[^\\\\#<]', '', 'g'))) AS n
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM said
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op10_chat_format": OP10_SQL}
