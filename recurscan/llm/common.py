@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recurscan/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
     _OPEN.append(path)

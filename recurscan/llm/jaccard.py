@@ -8,10 +8,10 @@
    nodes, and each pair of blocks is a tile of its own: no tile grows with the data.
 3. In a tile, bitmaps (as wide as the size band needs, folded to the narrower of two) bound the overlap from above:
    each bit of one bitmap that the other lacks is a shingle that the other lacks. Pairs below the threshold by this bound go.
-   Of the rest, pairs that are clearly above it join tile-local groups, and further pairs inside one group are skipped:
-   only components are asked for, so a group of n near copies gives about n pairs.
-4. The pairs left are checked exactly on the sorted sets. Should a pair that a tile relied on fail, the tiles of its nodes
-   run again and list every pair.
+4. Only components are asked for, so not all pairs left need a look. In a first round a tile names the edges of a forest
+   over the pairs that look similar enough by their bits; they are checked exactly, on the sorted sets, and joined into
+   components. In a second round the tiles name every pair left by the bound whose ends are in different components, and
+   these are checked too. So a group of n near copies gives about n pairs, and no link between components is missed.
 5. Links are joined into components; a document has the smallest id of its component.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows of one id are one document:
@@ -35,14 +35,14 @@ from .components import components
 WORDS, NUM, DEN = 5, 3, 4
 ROWS, BANDS = 3, 42
 TILE = 4096
-TRUST = 1.08
+SURE = 1.08
 _BY = mix(np.arange(1000, 1000 + ROWS * BANDS, dtype=np.uint64)) | np.uint64(1)
 _JOIN = mix(np.arange(5000, 5000 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
 def width(n: int) -> int:
     """Bits of the bitmap of a set of that size."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    return max(64, 1 << (8 * n - 1).bit_length())
 
 
 def _sketches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -76,102 +76,108 @@ def _fold(bits: np.ndarray, words64: int) -> np.ndarray:
     return bits
 
 
-class _Groups:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def label(self) -> np.ndarray:
-        while True:
-            up = self.up[self.up]
-            if (up == self.up).all():
-                return up
-            self.up = up
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            i = self.up[i]
-        return int(i)
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(i), self.find(j)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def tile_pairs(ids: list[int], n: np.ndarray, bits: list[bytes], trust: float | None) -> Iterator[tuple[int, int, bool]]:
-    """Pairs of a tile, sorted by size, whose overlap may reach the threshold; True: the tile relied on it."""
-    maps = [np.frombuffer(b, np.uint64) for b in bits]
-    wide = np.array([len(m) for m in maps])
-    bands = {int(w): (np.flatnonzero(wide == w)) for w in np.unique(wide)}
-    stacks = {w: np.stack([maps[i] for i in at]) for w, at in bands.items()}
-    order = np.array(ids)
-    groups = _Groups(len(ids))
-    held: list[tuple[int, np.ndarray]] = []
-    for i in range(1, len(ids)):
-        near, bound, guess = [], [], []
-        for w in (int(wide[i]), int(wide[i]) // 2):
-            if w not in bands:
+class Tile:
+    """Rows of a tile, sorted by size: ids, sizes, bitmaps."""
+
+    def __init__(self, ids: list[int], n: list[int], bits: list[bytes]):
+        self.ids, self.n = np.array(ids, np.int64), np.array(n, np.int64)
+        self.maps = [np.frombuffer(b, np.uint64) for b in bits]
+        self.wide = np.array([len(m) for m in self.maps])
+        self.bands = {int(w): np.flatnonzero(self.wide == w) for w in np.unique(self.wide)}
+        self.stacks = {w: np.stack([self.maps[i] for i in at]) for w, at in self.bands.items()}
+        self.ones = {w: np.bitwise_count(s).sum(1, dtype=np.int64) for w, s in self.stacks.items()}
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Earlier rows that row i may be linked with, by the bound; their overlaps as the bits suggest, and the least
+        overlap for a link."""
+        js, guesses = [], []
+        n = self.n[i]
+        for w in (int(self.wide[i]), int(self.wide[i]) // 2):
+            if w not in self.bands:
                 continue
-            at = bands[w]
-            lo, hi = np.searchsorted(n[at], -(-int(n[i]) * NUM // DEN)), np.searchsorted(at, i)
+            at = self.bands[w]
+            lo, hi = np.searchsorted(self.n[at], -(-int(n) * NUM // DEN)), np.searchsorted(at, i)
             if lo >= hi:
                 continue
-            other, own = stacks[w][lo:hi], _fold(maps[i], w)
-            size = n[at[lo:hi]]
-            only_i, only_j = np.bitwise_count(own & ~other).sum(1, dtype=np.int64), np.bitwise_count(other & ~own).sum(1, dtype=np.int64)
-            near.append(at[lo:hi])
-            bound.append(np.minimum(n[i] - only_i, size - only_j))
-            free_j, free_i = 1 - np.bitwise_count(other).sum(1, dtype=np.int64) / (64 * w), 1 - np.bitwise_count(own).sum() / (64 * w)
-            guess.append(np.minimum(n[i] - only_i / np.maximum(free_j, 0.05), size - only_j / max(free_i, 0.05)))
-        if not near:
-            continue
-        j, most, likely = np.concatenate(near), np.concatenate(bound), np.concatenate(guess)
-        total = n[i] + n[j]
-        may = ((DEN + NUM) * most >= NUM * total) & (order[j] != order[i])
-        if trust is not None:
-            sure = j[may & ((DEN + NUM) * likely >= trust * NUM * total)]
-            for x in sure[np.argsort(order[sure], kind="stable")][:64].tolist():
-                if groups.join(i, x):
-                    yield ids[x], ids[i], True
-            if len(sure) > 64:
-                label = groups.label()
-                for x in sure[np.unique(label[sure], return_index=True)[1]].tolist():
-                    if groups.join(i, x):
-                        yield ids[x], ids[i], True
-            may &= ~np.isin(j, sure)
-        if may.any():
-            held.append((i, j[may]))
-    label = groups.label()
-    for i, j in held:
-        for x in j[label[j] != label[i]].tolist():
-            yield ids[x], ids[i], False
-
-
-def _tiles(trust: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows):
-            order = sorted(range(len(rows)), key=lambda i: (rows[i][1], rows[i][0]))
-            rows = [rows[i] for i in order]
-            return list(tile_pairs([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], trust))
-
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.bool_())], ["a", "b", "relied"])
+            own, ones = _fold(self.maps[i], w), self.ones[w][lo:hi]
+            size, mine = self.n[at[lo:hi]], int(np.bitwise_count(own).sum())
+            both = np.bitwise_count(self.stacks[w][lo:hi] & own).sum(1, dtype=np.int64)
+            only_i, only_j = mine - both, ones - both
+            may = ((DEN + NUM) * np.minimum(n - only_i, size - only_j) >= NUM * (n + size)) & (self.ids[at[lo:hi]] != self.ids[i])
+            if may.any():
+                free_j, free_i = 1 - ones[may] / (64 * w), 1 - mine / (64 * w)
+                js.append(at[lo:hi][may])
+                guesses.append(np.minimum(n - only_i[may] / np.maximum(free_j, 0.05), size[may] - only_j[may] / max(free_i, 0.05)))
+        if not js:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        j = np.concatenate(js)
+        return j, np.concatenate(guesses), (n + self.n[j]) * NUM / (DEN + NUM)
+
+    def forest(self) -> tuple[list[tuple[int, int]], bool]:
+        """Edges of a forest over the pairs that look similar enough, and whether any pair passed the bound."""
+        label, out, some = np.arange(len(self.ids)), [], False
+        for i in range(1, len(self.ids)):
+            j, guess, least = self.near(i)
+            some |= len(j) > 0
+            likely = guess >= least
+            j, sure = j[likely], guess[likely] >= SURE * least[likely]
+            # of each group one edge: to the smallest id that looks surely linked (so that tiles agree), else the likeliest
+            order = np.lexsort((np.where(sure, self.ids[j], 0), -np.where(sure, np.inf, guess[likely])))
+            j = j[order]
+            for x in j[np.sort(np.unique(label[j], return_index=True)[1])].tolist():
+                if label[x] != label[i]:
+                    label[label == label[i]] = label[x]
+                    out.append((int(self.ids[x]), int(self.ids[i])))
+        return out, some
+
+    def across(self, label: np.ndarray) -> Iterator[tuple[int, int]]:
+        """All pairs that pass the bound and whose labels differ."""
+        if (label == label[0]).all():
+            return
+        for i in range(1, len(self.ids)):
+            j = self.near(i)[0]
+            for x in j[label[j] != label[i]].tolist():
+                yield int(self.ids[x]), int(self.ids[i])
+
+
+def _tiles(first: bool):
+    """Over rows (k, i, j, id, n, bits, label) sorted by k, i, j: pairs (a, b); in the first round also (k, i, j) of tiles with any."""
 
-        key, rows, out = None, [], set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: set[tuple[int, int]] = set()
+        live: list[tuple] = []
+
+        def end(key, rows):
+            if len(rows) < 2:
+                return
+            rows.sort(key=lambda r: (r[1], r[0]))
+            tile = Tile([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+            if first:
+                found, some = tile.forest()
+                live.extend([key] if some else [])
+            else:
+                found = tile.across(np.array([r[3] for r in rows]))
+            pairs.update((min(p), max(p)) for p in found)
+
+        def flush():
+            cols = [[p[0] for p in pairs] + [None] * len(live), [p[1] for p in pairs] + [None] * len(live), *([None] * len(pairs) + [t[c] for t in live] for c in range(3))]
+            pairs.clear(), live.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "b", "k", "i", "j"])
+
+        key, rows = None, []
         for batch in batches:
-            for k, i, j, id_, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, i, j) != key:
-                    out.update(made(rows) if len(rows) > 1 else ())
-                    key, rows = (k, i, j), []
-                    if len(out) > 50_000:
-                        yield batch_of(list(out))
-                        out = set()
-                rows.append((id_, n, bits))
-        out.update(made(rows) if len(rows) > 1 else ())
-        if out:
-            yield batch_of(list(out))
+            for lo in range(0, batch.num_rows, 1000):
+                for k, i, j, id_, n, bits, label in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns)):
+                    if (k, i, j) != key:
+                        end(key, rows)
+                        key, rows = (k, i, j), []
+                    rows.append((id_, n, bits, label))
+                if len(pairs) + len(live) > 20_000:
+                    yield flush()
+        end(key, rows)
+        if pairs or live:
+            yield flush()
 
     return run
 
@@ -186,19 +192,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column(3), batch.column(4)):
+        for x, y in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ok, pa.bool_())], ["a", "b", "relied", "ok"])
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, relied) with ok: whether their similarity reaches the threshold, on whole sets."""
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose similarity reaches the threshold, on whole sets."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = texts.join(ends, "id", "left_semi").mapInArrow(_sets, "id bigint, s binary")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    return first.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "relied", "s", "t").mapInArrow(_exact, "a bigint, b bigint, relied boolean, ok boolean").groupBy("a", "b").agg(F.max("relied").alias("relied"), F.max("ok").alias("ok"))
+    both = first.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t")
+    return both.mapInArrow(_exact, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -206,29 +213,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kinds = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, bits binary"
     made = stash(texts.mapInArrow(lambda it: (p for b in it for p in _sketches(b)), kinds), "sketches")
-    node = made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    # a node's keys and bitmap come with its smallest id; equal sets have equal ones, so any row of that id and set will do
-    nodes = made.where("n > 0 and id is not null").join(node.where("rep is not null"), ["n", "f1", "f2"]).where("id = rep").dropDuplicates(["n", "f1", "f2"]).select("id", "n", "keys", "bits")
-    nodes = stash(nodes, "nodes")
-    posts = nodes.select("id", "n", F.explode("keys").alias("k")).withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
+    node = stash(made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "nodes")
+    # a node's keys and bitmap come with its smallest id
+    nodes = made.where("n > 0 and id is not null").join(node.where("rep is not null"), ["n", "f1", "f2"]).where("id = rep")
+    posts = nodes.select("id", "f1", F.explode("keys").alias("k")).withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
     blocks = posts.withColumn("m", F.ceil(F.col("c") / tile).cast("int")).withColumn("x", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    dealt = blocks.select("k", "id", "n", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y")).select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "id", "n")
+    dealt = blocks.select("k", "id", "f1", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y")).select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "id", "f1")
     dealt = stash(dealt, "tiles")
-    maps = nodes.select("id", "n", "bits")
-
-    def pairs_of(rows: DataFrame, trust: float | None) -> DataFrame:
-        full = rows.join(maps, ["id", "n"]).select("k", "i", "j", "id", "n", "bits")
-        found = full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_tiles(trust), "a bigint, b bigint, relied boolean")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "relied").groupBy("a", "b").agg(F.max("relied").alias("relied"))
-
-    checked = stash(_checked(stash(pairs_of(dealt, TRUST), "pairs"), texts), "checked")
-    links = checked.where("ok").select("a", "b")
-    failed = checked.where("relied and not ok")
-    if not failed.isEmpty():
-        ends = failed.select(F.col("a").alias("id")).unionByName(failed.select(F.col("b").alias("id"))).distinct()
-        again = dealt.join(dealt.join(ends, "id", "left_semi").select("k").distinct(), "k", "left_semi")
-        more = pairs_of(again, None).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(_checked(stash(more, "pairs"), texts).where("ok").select("a", "b"))
+    maps = stash(made.join(dealt.select("id", "f1").distinct(), ["id", "f1"], "left_semi").select("id", "f1", "n", "bits").dropDuplicates(["id", "f1"]), "bitmaps")
+
+    def named(rows: DataFrame, first: bool) -> DataFrame:
+        full = rows.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits", "label")
+        return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_tiles(first), "a bigint, b bigint, k bigint, i int, j int")
+
+    one = stash(named(dealt.withColumn("label", F.col("id")), True), "forest")
+    pairs = one.where("a is not null").select("a", "b").distinct()
+    links = stash(_linked(pairs, texts), "links")
     comp = components(links)
-    named = node.join(comp, node["rep"] == comp["id"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    return made.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    live = dealt.join(one.where("k is not null").select("k", "i", "j").distinct(), ["k", "i", "j"])
+    live = live.join(comp.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = live.groupBy("k", "i", "j").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k", "i", "j")
+    two = named(live.join(mixed, ["k", "i", "j"]), False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = stash(_linked(stash(two, "across"), texts), "links")
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
+    named_sets = node.join(comp, node["rep"] == comp["id"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    return made.select("id", "n", "f1", "f2").join(named_sets, ["n", "f1", "f2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

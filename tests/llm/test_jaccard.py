@@ -75,8 +75,9 @@ def test_large_family_gives_few_pairs():
         b[(s & np.uint64(len(b) - 1)).astype(int)] = 1
         batch_ids.append(i), n.append(len(s)), bits.append(np.packbits(b, bitorder="little").tobytes())
     order = sorted(range(400), key=lambda i: n[i])
-    pairs = list(jaccard.tile_pairs([batch_ids[i] for i in order], np.array([n[i] for i in order]), [bits[i] for i in order], jaccard.TRUST))
-    assert len(pairs) == 399
+    tile = jaccard.Tile([batch_ids[i] for i in order], [n[i] for i in order], [bits[i] for i in order])
+    assert len(tile.forest()[0]) == 399
+    assert not list(tile.across(np.zeros(400)))
 
 
 def test_words():
