@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, extraction, jaccard, lz, packing, substring
+from . import ann, bpe, chat, extraction, jaccard, lz, packing, substring, toxicity
 from .common import documents
 
 
@@ -34,6 +34,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,7 +71,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op6_html_extraction, op8_substring_dedup, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op6_html_extraction, op7_toxicity, op8_substring_dedup, op9_packing, op10_chat_format)}
 
 
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
