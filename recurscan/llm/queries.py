@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, extraction, jaccard, lz, packing, substring, toxicity
+from . import ann, bpe, chat, extraction, jaccard, langid, lz, packing, substring, toxicity
 from .common import documents
 
 
@@ -16,6 +16,16 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared: lang, host: source) and pages (declared: the markup's, host and suffix: the address's)."""
+    docs = documents(spark, sf_dir).withColumn("page_id", F.lit(None).cast("long"))
+    docs = docs.select("doc_id", "page_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("host", extraction.host_of(F.col("url")))
+    pages = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", langid.html_text(F.col("html")).alias("text"), langid.html_lang(F.col("html")).alias("declared"), "host", langid.suffix_of(F.col("host")).alias("suffix"))
+    model = langid.fit(docs, lang="declared")
+    return langid.identify(docs.unionByName(pages), model, declared="declared", host="host", suffix="suffix", keep=("doc_id", "page_id", "declared"))
+
+
 def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
@@ -71,7 +81,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op6_html_extraction, op7_toxicity, op8_substring_dedup, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_rp_forest, op4_lz_fingerprint, op5_bpe, op6_html_extraction, op7_toxicity, op8_substring_dedup, op9_packing, op10_chat_format)}
 
 
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"

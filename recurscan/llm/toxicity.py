@@ -158,7 +158,7 @@ def label_model(votes: np.ndarray, base: float, prior: np.ndarray | None = None,
     return post, a, b, near
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12, ridge: float = 0.02) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias for soft labels y, by Newton steps with a ridge on the weights."""
     full = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(full.shape[1])
