@@ -1,0 +1 @@
+"""Recurring-pattern detection on Spark: functions that look like an unpatched copy of a known vulnerable one."""

@@ -1,15 +1,583 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""Queries over the driver's tables, by name, and the SQL that each must equal.
+
+Every query runs over whole tables. Documents and pages stand in for functions, neighbouring benchmark items for OLD and NEW
+versions, sources for CVEs, users for flows, orders for functions with numbered lines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .config import Config
+from .functions import features, strings, text, tokens, trees, vectors
+from .operators import flows, joins, results, syntax
+from .sources.code import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SEED = 20231031
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of SQL -------------------------------------------------------------------------------------------------------
+WS = r"[ \t\n\x0b\f\r\x1c-\x1f]"
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+STATEMENTS = r"replace(coalesce(text, ''), '. ', ';' || chr(10))"
+BARE = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({STATEMENTS}, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*\n', chr(10), 'g'), '[^\x00-\x7F]+', '', 'g'), '(?m)^#[^\n]*', '', 'g')"
+PURE = f"""
+pure AS (
+  SELECT doc_id, CASE WHEN length(bare) - length(replace(bare, ';', '')) <= 3 OR len(list_filter(lines, lambda x: length(x) > 1)) <= 5 THEN ''
+                      ELSE array_to_string(lines, chr(10)) END AS code
+  FROM (SELECT doc_id, bare, list_filter(list_transform(string_split(bare, chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> '') AS lines
+        FROM (SELECT doc_id, {BARE} AS bare FROM documents))
+)"""
+
+_PAIR_SQL = "|".join("".join("\\" + c for c in op) for op in tokens.OPERATORS)
+_SCAN_SQL = rf"[_a-zA-Z0-9]+|(?:>>|<<)=|(?:{_PAIR_SQL})[^_a-zA-Z0-9]?|;|[^_a-zA-Z0-9 \t\n\x0b\f\r\x1c-\x1f][^_a-zA-Z0-9]?"
+_OPS_SQL = "[" + ", ".join(f"'{op}'" for op in (*tokens.OPERATORS, ">>=", "<<=")) + "]"
+
+
+def tokens_sql(table_: str, id_: str, column: str) -> str:
+    """CTEs ending in toks(id, tokens)."""
+    return rf"""
+raw_lines AS (
+  SELECT {id_} AS id, list_filter(string_split(coalesce({column}, ''), chr(10)), lambda x: NOT regexp_matches(x, '\*/{WS}*$')) AS ls FROM {table_}
+), found AS (
+  SELECT id, i, l, regexp_extract_all(l, '{_SCAN_SQL}') AS ms
+  FROM (SELECT id, i, regexp_replace(regexp_replace(regexp_replace(ls[i], '[^\x00-\x7F]+', '', 'g'), '"[^\n]*?"', '""', 'g'), '''[^\n]*?''', '''''', 'g') AS l
+        FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw_lines))
+), whole AS (
+  SELECT id, i, CASE WHEN regexp_matches(l, '[_a-zA-Z0-9]$') THEN ms[:len(ms) - 1] ELSE ms END AS ms FROM found
+), parted AS (
+  SELECT id, i, list_filter(flatten(list_transform(ms, lambda m: CASE WHEN regexp_matches(m, '^[_a-zA-Z0-9]') OR list_contains({_OPS_SQL}, m) THEN [m]
+           WHEN length(m) = 3 THEN [m[1:2], m[3:3]] WHEN length(m) = 2 THEN [m[1:1], m[2:2]] ELSE [m] END)), lambda t: t <> ' ') AS ts FROM whole
+), clean AS (
+  SELECT id, i, CASE WHEN list_contains(ts, chr(13)) THEN list_filter(ts, lambda t, k: k <> list_position(ts, chr(13))) ELSE ts END AS ts FROM parted
+), toks AS (
+  SELECT r.id, coalesce(flatten(list(ts ORDER BY i) FILTER (ts IS NOT NULL)), []) AS tokens FROM raw_lines r LEFT JOIN clean c ON c.id = r.id GROUP BY r.id
+)"""
+
+
+DOC_TOKENS = tokens_sql("documents", "doc_id", "text")
+PAIRS = f"""{DOC_TOKENS}, bags AS (
+  SELECT id, len(tokens) AS n, t AS token, count(*) AS cnt FROM (SELECT id, tokens, unnest(tokens) AS t FROM toks) GROUP BY ALL
+), elements AS (
+  SELECT id, n, token, unnest(range(1, cnt + 1)) AS k FROM bags
+), rare AS (
+  SELECT token, k, count(*) AS df FROM elements GROUP BY ALL
+), heads AS (
+  SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY df, token, e.k) AS r FROM elements e JOIN rare USING (token, k)) WHERE r <= n - ceil(0.7 * n) + 1
+), candidates AS (
+  SELECT DISTINCT a.id AS dst_id, b.id AS vuln_id FROM heads a JOIN heads b ON a.token = b.token AND a.k = b.k AND a.id <> b.id
+), sims AS (
+  SELECT dst_id, vuln_id, a.n AS n_dst, b.n AS n_vuln, sum(least(a.cnt, b.cnt)) AS inter
+  FROM candidates JOIN bags a ON a.id = dst_id JOIN bags b ON b.id = vuln_id AND a.token = b.token GROUP BY ALL
+), pairs AS (
+  SELECT dst_id, vuln_id, n_dst, n_vuln, CAST(inter AS BIGINT) AS inter, inter / (n_dst + n_vuln - inter) AS sim FROM sims WHERE inter / (n_dst + n_vuln - inter) >= 0.7
+)"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def statements() -> F.Column:
+    """The text with sentences as statements, each on a line of its own."""
+    return F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(";\n"))
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), tokens.code_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different documents at or above the threshold, in both directions."""
+    bags = document_tokens(spark, sf_dir)
+    return joins.multiset_jaccard_join(bags, bags).where("dst_id <> vuln_id")
+
+
+# Text ----------------------------------------------------------------------------------------------------------------
+@query(f"WITH {PURE} SELECT doc_id, code, CAST(len(string_split(code, chr(10))) AS BIGINT) AS n_lines FROM pure WHERE code <> ''")
+def purify_lines(spark, sf_dir):
+    pure = documents(spark, sf_dir).select("doc_id", text.purify(statements()).alias("code")).where("code <> ''")
+    return pure.withColumn("n_lines", F.size(text.lines_of(F.col("code"))).cast("long"))
+
+
+_NAME_SQL = "concat('CVE-', 2000 + p_size, '-', p_partkey, '_CWE-', p_size, '_c', p_partkey, '_', lower(replace(p_brand, '#', '')), '.c_', CASE WHEN p_size > 25 THEN concat('1.', p_size, '_') ELSE '' END, replace(p_name, ' ', '_'), CASE WHEN p_retailprice > 950 THEN '_OLD.vul' ELSE '_NEW.vul' END)"
+
+
+@query(f"""
+SELECT name, parts[1] AS cve, parts[2] AS cwe, parts[3] AS "commit", array_to_string(rest[:run], '_') AS file,
+       CASE WHEN has THEN rest[run + 1] ELSE '' END AS version, array_to_string(rest[run + 1 + has::INT : len(rest) - 1], '_') AS func,
+       left(rest[len(rest)], length(rest[len(rest)]) - 4) AS tag, replace(name, 'OLD', 'NEW') AS patched, string_split(name, '_')[1] AS id
+FROM (SELECT *, contains(rest[run + 1], '.') AND run < len(rest) - 1 AS has
+      FROM (SELECT *, coalesce(list_position(list_transform(rest, lambda p: contains(p, '.c')), false), len(rest) + 1) - 1 AS run
+            FROM (SELECT name, string_split(name, '_') AS parts, string_split(name, '_')[4:] AS rest FROM (SELECT {_NAME_SQL} AS name FROM part))))""")
+def filename_parse(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.expr(_NAME_SQL).alias("name"))
+    return names.select("name", text.parse_name(F.col("name")).alias("p"), text.patched_name(F.col("name")).alias("patched"), text.cve_of(F.col("name")).alias("id")).select("name", "p.*", "patched", "id")
+
+
+@query("""SELECT page_id, replace(replace(concat('f', page_id, '@@@', replace(url, '/', '@#@')), '/', '%2F'), '%', '%25') AS file_name,
+  lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('c','cc','cxx','cpp','c++','h','hh','hpp','hxx','h++') AS is_source FROM pages""")
+def encoded_names(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.encode_name(F.concat(F.lit("f"), F.col("page_id").cast("string")), F.col("url")).alias("file_name"), text.is_source_file(F.col("url")).alias("is_source"))
+
+
+@query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace({STATEMENTS}, '/\*[\s\S]*?\*/', '', 'g'), '(^|[^:])//[^\n]*', '\1', 'g')) AS code_sha256,
+  sha256(array_to_string(string_split({STATEMENTS}, chr(10))[2:4], chr(10))) AS slice_sha256 FROM documents""")
+def comments_and_slices(spark, sf_dir):
+    code = statements()
+    return documents(spark, sf_dir).select("doc_id", F.sha2(text.strip_comments_keep_urls(code), 256).alias("code_sha256"), F.sha2(text.line_slice(code, 2, 4), 256).alias("slice_sha256"))
+
+
+@query("""SELECT s_suppkey, concat(CASE WHEN s_acctbal > 5000 THEN 'struct node *' WHEN s_acctbal > 0 THEN 'unsigned int ' ELSE '' END, 'f', s_suppkey, '(int a) {') AS decl FROM supplier""")
+def declarations(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("f"), F.col("s_suppkey").cast("string"))
+    typeref = F.when(F.col("s_acctbal") > 5000, "struct:node *").when(F.col("s_acctbal") > 0, "typename:unsigned int")
+    return s.select("s_suppkey", text.declared(F.concat(F.lit("MACRO "), name, F.lit("(int a) {")), name, typeref).alias("decl"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'RETURN' ELSE 'CALL' END AS kind,
+  CASE WHEN p_size > 25 THEN left(concat(p_name, ' < 3, "a b"'), length(concat(p_name, ' < 3, "a b"')) // 2) ELSE concat(p_name, ' < 3, "a b"') END AS code, p_size AS line FROM part""")
+def cfg_labels(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    label = F.concat(F.lit("("), F.when(F.col("p_size") > 25, "RETURN").otherwise("CALL"), F.lit(","), F.col("p_name"), F.lit(" &lt; 3, &quot;a b&quot;)<SUB>"), F.col("p_size").cast("string"), F.lit("</SUB>"))
+    return p.select("p_partkey", text.parse_label(label).alias("l")).select("p_partkey", "l.*")
+
+
+@query("SELECT a.item_id AS old_id, CAST(levenshtein(left(regexp_replace(a.text, '[^\\x00-\\x7F]+', '', 'g'), 200), left(regexp_replace(b.text, '[^\\x00-\\x7F]+', '', 'g'), 200)) AS INT) AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+def edit_distance(spark, sf_dir):
+    a, b = (table(spark, sf_dir, "benchmark").alias(x) for x in "ab")
+    both = a.join(b, F.col("b.item_id") == F.col("a.item_id") + 1)
+    return both.select(F.col("a.item_id").alias("old_id"), strings.levenshtein_distance(*(F.substr(text.ascii_only(F.col(c)), F.lit(1), F.lit(200)) for c in ("a.text", "b.text"))).alias("distance"))
+
+
+@query("SELECT a.p_partkey, round(jaro_similarity(a.p_name, b.p_name), 6) AS jaro, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS jaro_winkler FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def jaro_scores(spark, sf_dir):
+    a, b = (table(spark, sf_dir, "part").alias(x) for x in "ab")
+    both = a.join(b, F.col("b.p_partkey") == F.col("a.p_partkey") + 1)
+    x, y = F.col("a.p_name"), F.col("b.p_name")
+    return both.select("a.p_partkey", F.round(strings.jaro_similarity(x, y), 6).alias("jaro"), F.round(strings.jaro_winkler_similarity(x, y), 6).alias("jaro_winkler"))
+
+
+@query()
+def fuzzy_hashes(spark, sf_dir):
+    a, b = (table(spark, sf_dir, "benchmark").withColumn("fuzzy", strings.fuzzy_hash(F.col("text"))).alias(x) for x in "ab")
+    both = a.join(b, F.col("b.item_id") == F.col("a.item_id") + 1)
+    return both.select(F.col("a.item_id").alias("old_id"), F.col("a.fuzzy").alias("fuzzy"), strings.fuzzy_similarity(F.col("a.fuzzy"), F.col("b.fuzzy")).alias("score"), strings.levenshtein_ratio(F.col("a.fuzzy"), F.col("b.fuzzy")).alias("ratio"))
+
+
+# Tokens and features -------------------------------------------------------------------------------------------------
+@query(f"WITH {tokens_sql('documents', 'doc_id', 'text')} SELECT id AS doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, sha256(array_to_string(tokens, chr(1))) AS tokens_sha256 FROM toks")
+def tokenize_documents(spark, sf_dir):
+    return document_tokens(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", "\x01"), 256).alias("tokens_sha256"))
+
+
+@query(f"WITH {tokens_sql('pages', 'page_id', 'html')} SELECT id AS page_id, CAST(len(tokens) AS BIGINT) AS n_tokens, sha256(array_to_string(tokens, chr(1))) AS tokens_sha256 FROM toks")
+def tokenize_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", tokens.code_tokens(F.coalesce("html", F.lit(""))).alias("t"))
+    return rows.select("page_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", "\x01"), 256).alias("tokens_sha256"))
+
+
+@query(f"WITH {DOC_TOKENS} SELECT token, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS docs, max(cnt) AS most FROM (SELECT id, t AS token, count(*) AS cnt FROM (SELECT id, unnest(tokens) AS t FROM toks) GROUP BY ALL) GROUP BY token")
+def token_bag(spark, sf_dir):
+    return joins.bag(document_tokens(spark, sf_dir), "id", "tokens").groupBy("token").agg(F.sum("cnt").alias("total"), F.count("*").alias("docs"), F.max("cnt").alias("most"))
+
+
+@query(f"WITH {DOC_TOKENS} SELECT CAST(len(tokens) AS BIGINT) AS n_tokens, count(*) AS functions FROM toks GROUP BY ALL")
+def length_buckets(spark, sf_dir):
+    return document_tokens(spark, sf_dir).groupBy(F.size("tokens").cast("long").alias("n_tokens")).agg(F.count("*").alias("functions"))
+
+
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_STR, _OP = features._STRING, features._OPERATOR
+
+
+def features_sql(table_: str, id_: str, column: str) -> str:
+    """CTEs ending in feats(id, pos)."""
+    return rf"""
+lexed AS (
+  SELECT {id_} AS id, regexp_extract_all(c, '{_STR}') AS ss,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '/\*[\s\S]*?\*/', ' ', 'g'), '{_STR}', '" "', 'g'), '''(?:[^''\\\n]|\\.)''', ''' ''', 'g'), '//[^\n]*', ' ', 'g') AS b
+  FROM (SELECT {id_}, coalesce({column}, '') AS c FROM {table_})
+), hits AS (
+  SELECT id, flatten(list_transform(ss, lambda s: regexp_extract_all(s, '{features._CONVERSION}', 1))) AS cs,
+         list_concat(regexp_extract_all(b, '[A-Za-z_][A-Za-z_0-9]*'), regexp_extract_all(b, '{_OP}')) AS ns FROM lexed
+), feats AS (
+  SELECT id, list_sort(list_concat(
+    list_filter(list_transform(range(1, {len(features.CONVERSIONS)} + 1), lambda i: CASE WHEN list_contains(cs, {_LIST(features.CONVERSIONS)}[i]) THEN i - 1 END), lambda p: p IS NOT NULL),
+    list_filter(list_transform(range(1, {len(features.NAMES)} + 1), lambda i: CASE WHEN list_contains(ns, {_LIST(features.NAMES)}[i]) THEN i + {len(features.CONVERSIONS) - 1} END), lambda p: p IS NOT NULL))) AS pos FROM hits
+)"""
+
+
+@query(f"WITH {features_sql('pages', 'page_id', 'html')} SELECT id AS page_id, array_to_string(pos, ',') AS positions, CAST(len(pos) AS INT) AS n FROM feats")
+def feature_onehot(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", features.positions(F.coalesce("html", F.lit(""))).alias("at"))
+    ones = F.filter(F.transform(features.one_hot(F.col("at")), lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return pages.select("page_id", F.array_join(ones.cast("array<string>"), ",").alias("positions"), F.size(ones).alias("n"))
+
+
+_BITS_SQL = ", ".join(f"CAST(coalesce(list_sum(list_transform(list_filter(pos, lambda p: p // {features.WORD_BITS} = {w}), lambda p: 1::BIGINT << (p - {w * features.WORD_BITS})::INT)), 0) AS BIGINT) AS b{w}" for w in range(3))
+
+
+def _subset_sql() -> str:
+    masks = ", ".join(f"({i}, {', '.join(map(str, m))})" for i, m in enumerate(features.kept_masks()))
+    return f"""
+WITH masks(try, m0, m1, m2) AS (VALUES {masks}),
+t AS (WITH {features_sql("documents", "doc_id", "text")} SELECT id, {_BITS_SQL} FROM feats),
+c AS (WITH {features_sql("benchmark", "item_id", "text")} SELECT id, {_BITS_SQL} FROM feats),
+ck AS (SELECT DISTINCT try, b0 & m0 AS k0, b1 & m1 AS k1, b2 & m2 AS k2 FROM c, masks)
+SELECT t.id AS doc_id, min(masks.try) AS first_try, -min(masks.try) AS score FROM t, masks
+WHERE (masks.try, b0 & m0, b1 & m1, b2 & m2) IN (SELECT (try, k0, k1, k2) FROM ck) GROUP BY t.id"""
+
+
+@query(_subset_sql())
+def subset_semi_join(spark, sf_dir):
+    vector = lambda t, id_, c: table(spark, sf_dir, t).select(F.col(id_).alias("id"), features.bit_words(features.positions(F.coalesce(c, F.lit("")))).alias("bits"))
+    found = joins.subset_semi_join(vector("documents", "doc_id", "text"), vector("benchmark", "item_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "first_try", (-F.col("first_try")).alias("score"))
+
+
+# Similarity join -----------------------------------------------------------------------------------------------------
+@query(f"WITH {PAIRS} SELECT dst_id, vuln_id, inter, round(sim, 6) AS sim FROM pairs")
+def jaccard_join(spark, sf_dir):
+    return similar(spark, sf_dir).select("dst_id", "vuln_id", F.col("inter").cast("long").alias("inter"), F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {PAIRS} SELECT dst_id, vuln_id, round(sim, 6) AS sim FROM pairs QUALIFY row_number() OVER (PARTITION BY dst_id ORDER BY sim DESC, vuln_id) = 1")
+def jaccard_best(spark, sf_dir):
+    best = Window.partitionBy("dst_id").orderBy(F.desc("sim"), "vuln_id")
+    return similar(spark, sf_dir).withColumn("r", F.row_number().over(best)).where("r = 1").select("dst_id", "vuln_id", F.round("sim", 6).alias("sim"))
+
+
+# Pairs, splits, samples ----------------------------------------------------------------------------------------------
+_TAGGED = "SELECT item_id, item_id // 2 AS k, CASE WHEN item_id % 2 = 0 THEN 'OLD' ELSE 'NEW' END AS tag, text FROM benchmark"
+
+
+def tagged(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("id"), F.floor(F.col("item_id") / 2).alias("k"), F.when(F.col("item_id") % 2 == 0, "OLD").otherwise("NEW").alias("tag"), "text")
+
+
+@query(f"SELECT k, a.item_id AS vuln_id, b.item_id AS patch_id FROM ({_TAGGED}) a JOIN ({_TAGGED}) b USING (k) WHERE a.tag = 'OLD' AND b.tag = 'NEW'")
+def pair_join(spark, sf_dir):
+    return joins.old_new_pairs(tagged(spark, sf_dir), ["k"])
+
+
+_SPLIT_SQL = """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'no_vul' WHEN row_number() OVER (PARTITION BY o_custkey, o_orderstatus <> 'P' ORDER BY o_orderdate, o_orderkey) = 1
+  THEN 'sample' ELSE 'non_sample' END AS split FROM orders"""
+
+
+def split_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("tag", F.when(F.col("o_orderstatus") == "P", "NEW").otherwise("OLD"))
+    return results.split_corpus(o, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query(_SPLIT_SQL)
+def sample_split(spark, sf_dir):
+    return split_orders(spark, sf_dir).select("o_orderkey", "split")
+
+
+@query(f"""WITH s AS ({_SPLIT_SQL}) SELECT 'vul' AS selector, count(*) AS n FROM s WHERE split <> 'no_vul' UNION ALL SELECT 'no_vul', count(*) FROM s WHERE split = 'no_vul'
+  UNION ALL SELECT 'sample', count(*) FROM s WHERE split = 'sample' UNION ALL SELECT 'non_sample', count(*) FROM s WHERE split = 'non_sample' UNION ALL SELECT 'all', count(*) FROM s""")
+def split_selectors(spark, sf_dir):
+    s = split_orders(spark, sf_dir).select("split").groupBy("split").count()
+    rows = [results.select_split(s, **({n: True} if n != "all" else {})).agg(F.lit(n).alias("selector"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")) for n in ("vul", "no_vul", "sample", "non_sample", "all")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionAll(r)
+    return out
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY ((o_orderkey % 2147483648) * 1103515245 + {SEED}) % 2147483648, o_orderkey LIMIT 500")
+def seeded_sample(spark, sf_dir):
+    return results.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500, SEED)
+
+
+@query("SELECT l_orderkey, l_partkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL")
+def last_overload(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return results.last_overload(rows, ["l_orderkey", "l_partkey"], "l_linenumber")
+
+
+# Lines, gates, routing -----------------------------------------------------------------------------------------------
+_LINES = f"""lines AS (SELECT doc_id AS id, sha256({strip_sql("l")}) AS line_hash, count(*) AS cnt FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY ALL)"""
+
+
+def document_lines(spark, sf_dir):
+    return syntax.line_counts(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
+
+
+@query(f"WITH {_LINES} SELECT id, line_hash, cnt FROM lines")
+def line_hash_counts(spark, sf_dir):
+    return document_lines(spark, sf_dir)
+
+
+@query()
+def line_diff(spark, sf_dir):
+    pairs = pair_join(spark, sf_dir)
+    t = table(spark, sf_dir, "benchmark")
+    both = pairs.join(t.select(F.col("item_id").alias("vuln_id"), F.col("text").alias("old")), "vuln_id").join(t.select(F.col("item_id").alias("patch_id"), F.col("text").alias("new")), "patch_id")
+    return syntax.diff_hashes(both.select("vuln_id", "patch_id", statements_of("old").alias("old"), statements_of("new").alias("new")), "old", "new")
+
+
+def statements_of(c: str):
+    return F.replace(F.col(c), F.lit(". "), F.lit(";\n"))
+
+
+_GATES = f"""WITH {PAIRS}, {_LINES}, versions AS (
+  SELECT doc_id AS vuln_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS patch_id, source AS cve FROM documents
+), cands AS (
+  SELECT dst_id, vuln_id, patch_id, cve, sim AS sv FROM pairs JOIN versions USING (vuln_id) WHERE patch_id IS NOT NULL
+), changed AS (
+  SELECT vuln_id, patch_id, v.line_hash, coalesce(v.cnt, 0) AS v, coalesce(p.cnt, 0) AS p FROM versions
+  JOIN lines v ON v.id = vuln_id LEFT JOIN lines p ON p.id = patch_id AND p.line_hash = v.line_hash WHERE v.cnt <> coalesce(p.cnt, 0)
+  UNION SELECT vuln_id, patch_id, p.line_hash, 0, p.cnt FROM versions JOIN lines p ON p.id = patch_id LEFT JOIN lines v ON v.id = vuln_id AND v.line_hash = p.line_hash WHERE v.cnt IS NULL
+), gates AS (
+  SELECT c.dst_id, c.vuln_id, c.patch_id, c.cve, c.sv, coalesce(bool_and(coalesce(d.cnt, 0) = h.v) FILTER (h.v > h.p), true) AS passes_del, coalesce(bool_and(coalesce(d.cnt, 0) = h.v) FILTER (h.v < h.p), true) AS passes_add
+  FROM cands c LEFT JOIN changed h ON h.vuln_id = c.vuln_id AND h.patch_id = c.patch_id LEFT JOIN lines d ON d.id = c.dst_id AND d.line_hash = h.line_hash GROUP BY ALL
+)"""
+
+
+def gated(spark, sf_dir):
+    """Candidates with a patched version (the next document of the source), and their gates."""
+    v = documents(spark, sf_dir).select(F.col("doc_id").alias("vuln_id"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("patch_id"), F.col("source").alias("cve"))
+    v = v.where("patch_id is not null")
+    candidates = similar(spark, sf_dir).select("dst_id", "vuln_id", F.col("sim").alias("sv")).join(v, "vuln_id")
+    lines = document_lines(spark, sf_dir)
+    a = v.join(lines.select(F.col("id").alias("vuln_id"), "line_hash", F.col("cnt").alias("v")), "vuln_id")
+    b = v.join(lines.select(F.col("id").alias("patch_id"), "line_hash", F.col("cnt").alias("p")), "patch_id")
+    both = a.join(b, ["vuln_id", "patch_id", "cve", "line_hash"], "full").select("vuln_id", "line_hash", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("p", F.lit(0)).alias("p"))
+    diffs = both.where("v <> p").select("vuln_id", F.when(F.col("v") > F.col("p"), "del").otherwise("add").alias("side"), "line_hash")
+    return syntax.line_gate(candidates, diffs, lines, lines, lines)
+
+
+@query(_GATES + " SELECT dst_id, vuln_id, patch_id, passes_del, passes_add FROM gates")
+def line_gates(spark, sf_dir):
+    return gated(spark, sf_dir).select("dst_id", "vuln_id", "patch_id", "passes_del", "passes_add")
+
+
+_ROUTED = _GATES + """, judged AS (
+  SELECT *, CASE WHEN sv < 0.7 THEN 'reject' WHEN sv < sp AND sp - sv > 0.15 THEN 'near' WHEN sv < sp THEN 'reject' ELSE 'accept' END AS gate
+  FROM (SELECT g.*, coalesce(p.sim, 0) AS sp FROM gates g LEFT JOIN pairs p ON p.dst_id = g.dst_id AND p.vuln_id = g.patch_id)
+), routed AS (
+  SELECT *, CASE WHEN n > 1 AND sv > 0.9 AND gate <> 'near' THEN 'direct' ELSE 'trace' END AS route
+  FROM (SELECT *, count(*) OVER (PARTITION BY dst_id) AS n, row_number() OVER (PARTITION BY dst_id, cve ORDER BY sv DESC, vuln_id) AS r FROM judged WHERE gate <> 'reject') WHERE r = 1
+)"""
+
+
+def routed(spark, sf_dir):
+    """Candidates that pass the tree gate, with routes; line gates are reported, not applied, as these tables hold no patches."""
+    sims = similar(spark, sf_dir)
+    g = gated(spark, sf_dir).join(sims.select("dst_id", F.col("vuln_id").alias("patch_id"), F.col("sim").alias("sp")), ["dst_id", "patch_id"], "left").withColumn("sp", F.coalesce("sp", F.lit(0.0)))
+    judged = g.withColumn("gate", syntax.tree_gate(F.col("sv"), F.col("sp"), Config()))
+    return syntax.route(judged.where("gate <> 'reject'").withColumn("near", F.col("gate") == "near"))
+
+
+@query(_ROUTED + " SELECT dst_id, vuln_id, cve, gate, route, round(sv, 6) AS sv, round(sp, 6) AS sp FROM routed")
+def ast_gate_route(spark, sf_dir):
+    return routed(spark, sf_dir).select("dst_id", "vuln_id", "cve", "gate", "route", F.round("sv", 6).alias("sv"), F.round("sp", 6).alias("sp"))
+
+
+_RECORDS = _ROUTED + """, records AS (
+  SELECT dst_id, list_sort(list(vuln_id)) AS sim FROM routed GROUP BY dst_id, CASE WHEN route = 'direct' THEN vuln_id END
+)"""
+
+
+@query(_RECORDS + " SELECT row_number() OVER (ORDER BY dst_id, sim) AS id, dst_id, array_to_string(sim, ',') AS sim FROM records")
+def result_records(spark, sf_dir):
+    out = results.numbered(results.result_records(routed(spark, sf_dir)))
+    return out.select("id", "dst_id", F.array_join(F.col("sim").cast("array<string>"), ",").alias("sim"))
+
+
+@query(_RECORDS + " SELECT (SELECT count(*) FROM documents) AS total_func, count(*) AS cnt, CAST(coalesce(sum(len(sim)), 0) AS BIGINT) AS \"all\" FROM records")
+def result_totals(spark, sf_dir):
+    found = results.result_records(routed(spark, sf_dir)).agg(F.count("*").alias("cnt"), F.coalesce(F.sum(F.size("sim")), F.lit(0)).cast("long").alias("all"))
+    return documents(spark, sf_dir).agg(F.count("*").alias("total_func")).crossJoin(found)  # one row with one row
+
+
+@query(_RECORDS + " SELECT dst_id, array_to_string(list_sort(flatten(list(sim))), ',') AS sim FROM records GROUP BY dst_id")
+def merge_by_dst(spark, sf_dir):
+    out = results.merge_by_dst(results.result_records(routed(spark, sf_dir)))
+    return out.select("dst_id", F.array_join(F.col("sim").cast("array<string>"), ",").alias("sim"))
+
+
+@query(_ROUTED + """, events AS (
+  SELECT 'token' AS stage, doc_id IN (SELECT dst_id FROM pairs) AS passed FROM documents
+  UNION ALL SELECT 'syntax', dst_id IN (SELECT dst_id FROM routed) FROM (SELECT DISTINCT dst_id FROM pairs)
+) SELECT stage, count(*) AS input, count_if(passed)::BIGINT AS passed, round(100 * (1 - count_if(passed) / count(*)), 1) AS filtered FROM events GROUP BY stage""")
+def stage_counters(spark, sf_dir):
+    hit = similar(spark, sf_dir).select("dst_id").distinct()
+    last = routed(spark, sf_dir).select("dst_id").distinct().withColumn("p", F.lit(True))
+    one = documents(spark, sf_dir).select(F.col("doc_id").alias("dst_id")).join(hit.withColumn("p", F.lit(True)), "dst_id", "left").select(F.lit("token").alias("stage"), F.coalesce("p", F.lit(False)).alias("passed"))
+    two = hit.join(last, "dst_id", "left").select(F.lit("syntax").alias("stage"), F.coalesce("p", F.lit(False)).alias("passed"))
+    return results.stage_counters(one.unionByName(two))
+
+
+# Flows, graphs, vectors ----------------------------------------------------------------------------------------------
+_COLLAPSED = "SELECT * FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type"
+
+
+def collapsed(spark, sf_dir):
+    return flows.collapse(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query(f"SELECT event_id, user_id, event_type FROM ({_COLLAPSED})")
+def flow_collapse(spark, sf_dir):
+    return collapsed(spark, sf_dir).select("event_id", "user_id", "event_type")
+
+
+_DAYS = "SELECT user_id, CAST(ts AS DATE) AS day, list(length(event_type) ORDER BY ts, event_id) AS lines FROM events GROUP BY ALL"
+
+
+@query(f"""WITH days AS ({_DAYS}), short AS (
+  SELECT user_id, list_transform(list_filter(list_zip(lines, list_prepend(NULL, lines[:len(lines) - 1])), lambda z: z[2] IS NULL OR z[1] <> z[2]), lambda z: z[1]) AS lines FROM days
+) SELECT user_id, array_to_string(lines, '>') AS flow, row_number() OVER (PARTITION BY user_id ORDER BY lines[1], lines) AS flow_id FROM (SELECT DISTINCT user_id, lines FROM short WHERE len(lines) >= 2)""")
+def taint_line_flows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id", F.length("event_type").alias("line")).alias("x"))
+    days = e.groupBy("user_id", "day").agg(F.transform(F.array_sort(F.collect_list("x")), lambda s: s["line"]).alias("lines"))
+    out = flows.line_flows(days, ["user_id"])
+    return out.select("user_id", F.array_join(F.col("lines").cast("array<string>"), ">").alias("flow"), "flow_id")
+
+
+_KEYED = "CAST(json_extract(props, '$.k') AS BIGINT) AS k"
+
+
+@query(f"""WITH o AS (SELECT DISTINCT user_id, {_KEYED} FROM events WHERE event_type = 'click'), n AS (SELECT DISTINCT user_id, {_KEYED} FROM events WHERE event_type = 'purchase'),
+both_ AS (SELECT user_id FROM o INTERSECT SELECT user_id FROM n)
+SELECT user_id, k, 'OLD' AS side FROM (SELECT * FROM o EXCEPT SELECT * FROM n) WHERE user_id IN (FROM both_) UNION ALL SELECT user_id, k, 'NEW' FROM (SELECT * FROM n EXCEPT SELECT * FROM o) WHERE user_id IN (FROM both_)""")
+def flow_diff(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    return joins.set_differences(e.where("event_type = 'click'").select("user_id", "k"), e.where("event_type = 'purchase'").select("user_id", "k"), ["user_id"], "k")
+
+
+@query("""SELECT a.event_id, a.user_id, b.event_id AS click_id FROM (FROM events WHERE event_type = 'error') a
+  ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts > b.ts""")
+def backward_asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    clicks = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    errors = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return joins.backward_asof(errors, clicks, ["user_id"], "ts", "ts", F.col("event_id"), "click_id").drop("ts")
+
+
+@query("SELECT l_orderkey AS func_id, l_linenumber AS line, arg_max(concat('part', l_partkey), (l_shipdate, l_partkey, l_suppkey)) AS code FROM lineitem GROUP BY ALL")
+def cfg_line_code(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("func_id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("code"), F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("ord"))
+    return flows.line_code(n, ["func_id"], "ord")
+
+
+@query("""SELECT l_orderkey AS func_id, q AS line, coalesce(max(l_linenumber) FILTER (l_linenumber <= q), q) AS snapped FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), (SELECT unnest(range(1, 9)) AS q) GROUP BY l_orderkey, q""")
+def snapped_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("func_id"), F.col("l_linenumber").cast("int").alias("line")).distinct()
+    asked = lines.select("func_id").distinct().select("func_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("line")).withColumn("q", F.col("line").cast("long"))
+    return flows.snap_lines(asked, lines, ["func_id"]).select("func_id", F.col("q").alias("line"), F.col("line").alias("snapped"))
+
+
+@query("SELECT label, d - 1 AS dim, round(avg(embedding[d]), 6) AS mean FROM embeddings, (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL")
+def vector_mean(spark, sf_dir):
+    means = vectors.mean_vectors(table(spark, sf_dir, "embeddings").select("label", "embedding"), ["label"], "embedding")
+    return means.select("label", F.posexplode("mean").alias("dim", "m")).select("label", F.col("dim").cast("long").alias("dim"), F.round("m", 6).alias("mean"))
+
+
+_SIMS = """sims AS (SELECT code, diff, avg(m) AS sim FROM (SELECT a.label AS code, b.label AS diff, b.vec_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS m
+  FROM embeddings a JOIN embeddings b ON a.label <> b.label GROUP BY ALL) GROUP BY ALL)"""
+
+
+def label_sims(spark, sf_dir):
+    """Each label's vectors as code flows against each other label's as diff flows."""
+    e = table(spark, sf_dir, "embeddings")
+    labels = e.select("label").distinct()
+    keys = labels.select(F.col("label").alias("code")).join(labels.select(F.col("label").alias("diff")), F.col("code") != F.col("diff"))
+    code = keys.join(e.select(F.col("label").alias("code"), "embedding"), "code")
+    diff = keys.join(e.select(F.col("label").alias("diff"), "embedding", F.col("vec_id").alias("flow_id")), "diff")
+    return flows.mean_of_max(code, diff, ["code", "diff"])
+
+
+@query(f"WITH {_SIMS} SELECT code, diff, round(sim, 6) AS sim FROM sims")
+def cosine_mean_max(spark, sf_dir):
+    return label_sims(spark, sf_dir).select("code", "diff", F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {_SIMS} SELECT a.code, a.diff AS vuln, b.diff AS patch, a.sim >= b.sim AND a.sim <> 0 AND b.sim <> 0 AS predict FROM sims a JOIN sims b ON a.code = b.code AND a.diff <> b.diff")
+def trace_gate(spark, sf_dir):
+    s = label_sims(spark, sf_dir)
+    both = s.select("code", F.col("diff").alias("vuln"), F.col("sim").alias("sv")).join(s.select("code", F.col("diff").alias("patch"), F.col("sim").alias("sp")), "code").where("vuln <> patch")
+    return both.select("code", "vuln", "patch", flows.trace_gate(F.col("sv"), F.col("sp"), F.lit(True), F.lit(True)).alias("predict"))
+
+
+@query("""WITH RECURSIVE edges AS (SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON b.n_nationkey IN (2 * a.n_nationkey + 1, 2 * a.n_nationkey + 2, 3 * a.n_nationkey + 2)),
+paths AS (SELECT n_name AS node, n_name AS path, 1 AS depth FROM nation WHERE n_nationkey = 0 UNION ALL SELECT dst, path || '>' || dst, depth + 1 FROM paths JOIN edges ON src = node WHERE NOT list_contains(string_split(path, '>'), dst))
+SELECT node, path, depth FROM paths""")
+def reach_paths(spark, sf_dir):
+    a, b = (table(spark, sf_dir, "nation").alias(x) for x in "ab")
+    to = F.array(2 * F.col("a.n_nationkey") + 1, 2 * F.col("a.n_nationkey") + 2, 3 * F.col("a.n_nationkey") + 2)
+    edges = a.select(F.col("a.n_name").alias("src"), F.explode(F.array_distinct(to)).alias("k")).join(b, F.col("b.n_nationkey") == F.col("k")).select("src", F.col("b.n_name").alias("dst"))
+    edges.createOrReplaceTempView("recurscan_edges")
+    start = table(spark, sf_dir, "nation").where("n_nationkey = 0").first()["n_name"]
+    return spark.sql(flows.simple_paths_sql("recurscan_edges", start))
+
+
+@query("SELECT threshold, recall FROM (SELECT p_size AS threshold, 1 - sum(count(*)) OVER (ORDER BY p_size) / (SELECT count(*) FROM part) AS recall FROM part GROUP BY p_size) WHERE recall >= 0.5 ORDER BY threshold DESC LIMIT 1")
+def recall_threshold(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("threshold")).count()
+    info = sizes.withColumn("recall", 1 - F.sum("count").over(Window.orderBy("threshold")) / F.sum("count").over(Window.partitionBy()))  # a row per size
+    return results.required_threshold(info, 0.5).join(info.select("threshold", "recall"), "threshold")
+
+
+@query("SELECT vec_id, label, round(embedding[1], 6) AS x0, CAST(len(embedding) AS INT) AS n FROM embeddings")
+def json_round_trip(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    coded = e.select("vec_id", "label", F.to_json(F.struct("embedding")).alias("j"))
+    return coded.select("vec_id", "label", F.from_json("j", "embedding array<float>")["embedding"].alias("v")).select("vec_id", "label", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.size("v").alias("n"))
+
+
+@query()
+def syntax_trees(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("doc_id", F.size(trees.ast_nodes()("text")).alias("n_nodes"), F.size(trees.ast_edges()("text")).alias("n_edges"), trees.ast_hash()("text").alias("tree_sha256"), F.sha2(trees.abstracted(F.col("text")), 256).alias("abstract_sha256"))
+
+
+@query()
+def contracted_graphs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("func_id"), F.col("l_partkey").cast("string").alias("node_id"), F.col("l_linenumber").alias("line"), "l_shipdate")
+    nodes = li.groupBy("func_id", "node_id").agg(F.min("line").alias("line"))
+    after = F.lead("node_id").over(Window.partitionBy("func_id").orderBy("l_shipdate", "node_id"))
+    edges = li.withColumn("dst", after).where("dst is not null and dst <> node_id").select("func_id", F.col("node_id").alias("src"), "dst").distinct()
+    return flows.contract_lines(edges, nodes)
+
+
+@query()
+def flow_embeddings(spark, sf_dir):
+    e = collapsed(spark, sf_dir).select("user_id", F.concat_ws(" ", "event_type", "props").alias("code"))
+    out = vectors.embed_flows(e, ["user_id"], "code")
+    return out.select("user_id", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)), 6).alias("x0"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from .plans import tables as plans
+
+    return QUERIES | plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
