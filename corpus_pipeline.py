@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurscan.llm import jaccard, langid, packing, substring, toxicity
-from recurscan.llm.common import discard, shared_dir
+from recurscan.llm.common import discard, shared_dir, stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with a language; the column lang counts as declared and source as host."""
     discard(spark)
     model = langid.fit(docs)
-    return langid.identify(docs, model, declared="lang", host="source", keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    marked = docs.select("doc_id", F.xxhash64("text").alias("__h"), "text", "lang", "source")
+    found = langid.identify(marked, model, declared="lang", host="source", keep=("doc_id", "__h"))
+    gone = stash(found.where("not kept").select(F.col("doc_id").alias("__i"), "__h").distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64("text") == F.col("__h"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

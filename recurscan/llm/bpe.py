@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 LEAF_BYTES = 48
 LEAF_CHARS = 1 << 15
 CACHE_PIECES = 300_000
@@ -172,6 +174,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """The kept columns, then n_tokens, ids (array<int>, if asked for), ids_sha256 and decoded_sha256 of each row's text."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_tokens bigint"] + ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"]
 
@@ -192,4 +195,4 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
                 made = [pa.array(counts, pa.int64())] + [pa.array(lists, pa.list_(pa.int32()))] * ids + [pa.array(coded), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(own + made, [*keep, "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"])
 
-    return kept.mapInArrow(run, ", ".join(fields))
+    return kept.mapInArrow(tidied(run), ", ".join(fields))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list[str] = []
@@ -28,6 +31,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most that many rows, unless the session asks for another number than the default: texts can be long,
+    and a batch is held in full on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it cuts the lineage and outlives any executor."""
     spark = df.sparkSession
@@ -36,7 +47,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use after it
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", 1 << 24).parquet(path)  # small row groups: their buffers are on the heap
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     fs, p = _fs(spark, path)
@@ -61,3 +72,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def tidied(run):
+    """run over Arrow batches, and memory given back to the system at its end: Python workers live on for later tasks."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not every C library has it
+                pass
+
+    return inner

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 REPEAT = 8
 GROUP = 256
 GROUP_CHARS = 1 << 24
@@ -195,6 +197,7 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", group: int = GROUP) -> DataFrame:
     """key, url, text, n_chars of each row. Hosts with over a hundred-thousandth of all pages (so a hundred thousand at
     most) are dealt into groups by a hash; smaller ones are one run of rows, cut into groups as they pass."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     rows = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
@@ -228,5 +231,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         if held:
             yield flush()
 
-    out = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "id", "url").mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
+    out = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "id", "url").mapInArrow(tidied(run), f"id {kind}, url string, text string, n_chars bigint")
     return out.select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import mix, stash
+from .common import mix, small_batches, stash, tidied
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4
@@ -202,17 +202,18 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose similarity reaches the threshold, on whole sets."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(ends, "id", "left_semi").mapInArrow(_sets, "id bigint, s binary")
+    sets = texts.join(ends, "id", "left_semi").mapInArrow(tidied(_sets), "id bigint, s binary")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     both = first.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t")
-    return both.mapInArrow(_exact, "a bigint, b bigint").distinct()
+    return both.mapInArrow(tidied(_exact), "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """One row for each row: key, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kinds = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, bits binary"
-    made = stash(texts.mapInArrow(lambda it: (p for b in it for p in _sketches(b)), kinds), "sketches")
+    made = stash(texts.mapInArrow(tidied(lambda it: (p for b in it for p in _sketches(b))), kinds), "sketches")
     node = stash(made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "nodes")
     # a node's keys and bitmap come with its smallest id
     nodes = made.where("n > 0 and id is not null").join(node.where("rep is not null"), ["n", "f1", "f2"]).where("id = rep")
@@ -224,7 +225,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
 
     def named(rows: DataFrame, first: bool) -> DataFrame:
         full = rows.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits", "label")
-        return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_tiles(first), "a bigint, b bigint, k bigint, i int, j int")
+        return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidied(_tiles(first)), "a bigint, b bigint, k bigint, i int, j int")
 
     one = stash(named(dealt.withColumn("label", F.col("id")), True), "forest")
     pairs = one.where("a is not null").select("a", "b").distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import stash
+from .common import small_batches, stash, tidied
 
 SAMPLE, BUCKETS, STRENGTH, LEAST, MOST = 8000, 1 << 14, 60, 0.5, 1000
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 100.0
@@ -75,6 +75,7 @@ class TextModel:
 
 
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
+    small_batches(rows.sparkSession)
     known = rows.select(F.col(key).alias("k"), F.lower(F.trim(F.col(lang))).alias("l"), F.col(text).alias("t")).where("l <> '' and t <> ''")
     some = known.select("k").orderBy(F.xxhash64("k"), "k").limit(sample).distinct()
     taught = known.join(F.broadcast(some), "k").select("l", "t")  # at most `sample` ids
@@ -90,7 +91,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     at = np.flatnonzero(c)
                     yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["l", "b", "c"])
 
-    sums = taught.mapInArrow(count, "l string, b int, c bigint").groupBy("l", "b").agg(F.sum("c").alias("c")).collect()
+    sums = taught.mapInArrow(tidied(count), "l string, b int, c bigint").groupBy("l", "b").agg(F.sum("c").alias("c")).collect()
     langs = sorted({r["l"] for r in sums})
     counts = np.zeros((len(langs), BUCKETS))
     for r in sums:
@@ -113,6 +114,7 @@ def suffix_of(host: Column) -> Column:
 
 def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, then language, probability and kept (whether the row stays)."""
+    small_batches(rows.sparkSession)
     pick = lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
     given = rows.select(F.struct(*keep).alias("own"), pick(declared).alias("d"), pick(host).alias("h"), pick(suffix).alias("s"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = given.schema["own"].dataType.simpleString()
@@ -126,7 +128,7 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * size), pa.array(x.astype(np.float64).ravel())) for x in (total, post)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(n.astype(np.int64)), *lists], ["own", "d", "h", "s", "n", "ll", "p"])
 
-    seen = stash(given.mapInArrow(read, f"own {kind}, d string, h string, s string, n bigint, ll array<double>, p array<double>"), "evidence")
+    seen = stash(given.mapInArrow(tidied(read), f"own {kind}, d string, h string, s string, n bigint, ll array<double>, p array<double>"), "evidence")
     if not size:
         return seen.select("own.*", F.lit("und").alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
     sums = [F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(size)]
@@ -164,4 +166,4 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
             names = [langs[b] if x else "und" for b, x in zip(best, some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(prob), pa.array(some & (prob >= LEAST))], ["own", "language", "probability", "kept"])
 
-    return joined.mapInArrow(fuse, f"own {kind}, language string, probability double, kept boolean").select("own.*", "language", "probability", "kept")
+    return joined.mapInArrow(tidied(fuse), f"own {kind}, language string, probability double, kept boolean").select("own.*", "language", "probability", "kept")

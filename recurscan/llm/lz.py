@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches, tidied
 
 K = 64
 LOWEST = -(1 << 63)
@@ -97,6 +97,7 @@ def likeness(a: list[int], b: list[int], k: int = K) -> float:
 
 def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = K) -> DataFrame:
     """The kept columns, n_chars and the fingerprint of each row's text."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_chars bigint", "fingerprint string"]
 
@@ -107,7 +108,7 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], [*keep, "n_chars", "fingerprint"])
 
-    return kept.mapInArrow(run, ", ".join(fields))
+    return kept.mapInArrow(tidied(run), ", ".join(fields))
 
 
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: int = 3) -> DataFrame:
@@ -118,6 +119,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     approximate quantiles; only the bounds and one id for each range reach the driver); each range also gets the first
     row of the one below it, so a text moves once and no task sees more than its range.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("o", F.coalesce("id", F.lit(LOWEST)))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -162,7 +164,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if out:
             yield _batch(out, names)
 
-    return ordered.select("id", "t", "o", "b", "g").mapInArrow(run, f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("id", "t", "o", "b", "g").mapInArrow(tidied(run), f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import load_ranks
-from .common import stash
+from .common import small_batches, stash, tidied
 
 WINDOW = 1 << 16
 MOST_QUEUES = 256
@@ -128,7 +128,7 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str |
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(cols[0]), pa.int32()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["part", "id", "q", "at", "n", "ids"])
 
-    return kept.mapInArrow(run, "part int, id bigint, q int, at bigint, n bigint, ids binary")
+    return kept.mapInArrow(tidied(run), "part int, id bigint, q int, at bigint, n bigint, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 0, length: int = 1024, window: int = WINDOW, weights: dict[int, int] | None = None, most_queues: int = MOST_QUEUES) -> DataFrame:
@@ -138,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     tokens, so that all queues end with the last window. Tokens are made once and written to the shared folder;
     the second pass adds each part's place in its queues and cuts. Only the queues' lengths reach the driver.
     """
+    small_batches(docs.sparkSession)
     toks = stash(tokenize(docs, tokenizer, ranks, pattern, key, text, source, end_id, most_queues), "packing")
     parts = toks.groupBy("q", "part").agg(F.sum("n").alias("n"))
     totals = {r["q"]: r["n"] for r in parts.groupBy("q").agg(F.sum("n").alias("n")).collect()}
@@ -162,4 +163,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     placed = toks.join(base, ["q", "part"]).select("id", "q", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
-    return placed.mapInArrow(run, f"`{key}` bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.mapInArrow(tidied(run), f"`{key}` bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import mix, stash
+from .common import mix, small_batches, stash, tidied
 
 SIZE, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 ASK, DECIDED, TELL = 0, 1, 2
@@ -153,23 +153,24 @@ def _cut(size: int):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """The rows with text replaced by the words kept, joined by one space, and n_words, n_removed."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (key, text, "n_words", "n_removed")]
     rest = [F.struct(*others).alias("rest")] if others else []
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
     state = F.col("v").bitwiseAND(15)
 
     by = Window.partitionBy("h")
-    anchors = rows.where("id is not null").select("id", "text").mapInArrow(_anchors(size), "h bigint, id bigint, v bigint")
+    anchors = rows.where("id is not null").select("id", "text").mapInArrow(tidied(_anchors(size)), "h bigint, id bigint, v bigint")
     shared = anchors.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where((F.col("lo") < F.col("hi")) | (state == DECIDED)).where(state != TELL)
     hits = stash(shared.groupBy("id").agg(F.collect_list("v").alias("hits")), "anchors")
 
     by = Window.partitionBy("h", "g")
-    found = rows.select("id", "text").join(hits.hint("shuffle_hash"), "id").select("id", "text", "hits").mapInArrow(_windows(size), "h bigint, g int, id bigint, v bigint")
+    found = rows.select("id", "text").join(hits.hint("shuffle_hash"), "id").select("id", "text", "hits").mapInArrow(tidied(_windows(size)), "h bigint, g int, id bigint, v bigint")
     gone = found.withColumn("lo", F.min(F.when(state == ASK, F.col("id"))).over(by)).where((state == DECIDED) | (F.col("id") > F.col("lo")))
     gone = stash(gone.groupBy("id").agg(F.collect_list("v").alias("gone")), "windows")
 
     kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if others else ""
     joined = rows.join(gone.hint("shuffle_hash"), "id", "left").select("id", "text", "gone", *["rest"] * bool(others))
-    out = joined.mapInArrow(_cut(size), f"id bigint, kept string, n_words bigint, n_removed bigint{kind}")
+    out = joined.mapInArrow(tidied(_cut(size)), f"id bigint, kept string, n_words bigint, n_removed bigint{kind}")
     order = [F.col("id").alias(key) if c == key else F.col("kept").alias(text) if c == text else F.col("rest")[c].alias(c) for c in docs.columns if c in (key, text, *others)]
     return out.select(*order, "n_words", "n_removed")

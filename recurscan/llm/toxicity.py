@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 SAMPLE, MOST_TERMS, BEGINNINGS, MOST_TIMES, SURE = 12_000, 400, (3, 4, 5, 6), 3, 0.9
 PRIOR = 3.0
 #: Common English insults.
@@ -176,6 +178,7 @@ def is_held_out(key):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    small_batches(docs.sparkSession)
     fixed = ["=" + w for w in INSULTS]
     usable = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~is_held_out(F.col("k")))
     usable = usable.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     base = min(0.5, max(0.01, classes.get(1, 0) / max(1, total)))
     stats: list[tuple[str, int, int]] = []
     if classes.get(1) and classes.get(0):
-        sums = rows.mapInArrow(count, "s string, n bigint, t bigint").groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        sums = rows.mapInArrow(tidied(count), "s string, n bigint, t bigint").groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
         stats = [tuple(r) for r in sums.where(f"t >= 3 and t >= {SURE} * n").orderBy("s").collect()]  # of the sample alone
     chosen = choose(stats, base)
     names = chosen + [w for w in fixed if w not in chosen]
@@ -211,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hits(t, index) for t in texts], pa.list_(pa.int32())), pa.array([patterns(t) for t in texts], pa.list_(pa.int32()))], ["k", "h", "p"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(vote, f"k {kind}, h array<int>, p array<int>").collect(), key=lambda r: (r["k"], r["h"], r["p"]))
+    got = sorted(rows.mapInArrow(tidied(vote), f"k {kind}, h array<int>, p array<int>").collect(), key=lambda r: (r["k"], r["h"], r["p"]))
     x = np.zeros((len(got), len(names)), np.float64)
     for i, r in enumerate(got):
         x[i, r["h"]] = 1
@@ -232,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, then score and predicted."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["score double", "predicted int"]
 
@@ -243,4 +247,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 own = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], [*keep, "score", "predicted"])
 
-    return kept.mapInArrow(run, ", ".join(fields))
+    return kept.mapInArrow(tidied(run), ", ".join(fields))

@@ -30,7 +30,7 @@ class Words:
     first: np.ndarray  # first[i]:first[i + 1] are the words of text i
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about that many bytes at most (or a single row)."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0)
     lo, total = 0, 0
