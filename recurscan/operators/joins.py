@@ -73,15 +73,18 @@ def multiset_jaccard_join(targets: DataFrame, corpus: DataFrame, threshold: floa
 
 
 def bag_jaccard(pairs: DataFrame, left: DataFrame, right: DataFrame, by: tuple[str, str], name: str) -> DataFrame:
-    """pairs with the similarity `name` of two bags (id, n, token, cnt), 0 for two empty ones; no pair is lost."""
-    a = left.select(F.col("id").alias(by[0]), F.struct("token", "cnt").alias("x"))
-    a = a.groupBy(by[0]).agg(F.map_from_entries(F.collect_list("x")).alias("a"))
-    b = right.select(F.col("id").alias(by[1]), F.struct("token", "cnt").alias("x")).groupBy(by[1]).agg(F.map_from_entries(F.collect_list("x")).alias("b"))
-    both = pairs.join(a, by[0], "left").join(b, by[1], "left")
-    total = lambda m: F.coalesce(F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
-    least = F.aggregate(F.map_entries(F.coalesce("a", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))), F.lit(0).cast("long"), lambda s, e: s + F.coalesce(F.least(e["value"], F.try_element_at("b", e["key"])), F.lit(0).cast("long")) * F.when(F.map_contains_key(F.coalesce("b", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))), e["key"]), 1).otherwise(0))
-    joined = both.withColumn("least", least).withColumn("most", total(F.col("a")) + total(F.col("b")) - F.col("least"))
-    return joined.withColumn(name, F.coalesce(F.try_divide("least", "most"), F.lit(0.0))).drop("a", "b", "least", "most")
+    """pairs with the similarity `name` of two bags (id, n, token, cnt), 0 for two empty ones; no pair is lost. A bag is one
+    function's, so it is gathered as a map."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    as_map = lambda bags, key, column: bags.groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("token", "cnt"))).alias(column))
+    both = pairs.join(as_map(left, by[0], "__a"), by[0], "left").join(as_map(right, by[1], "__b"), by[1], "left")
+    both = both.withColumn("__a", F.coalesce("__a", none)).withColumn("__b", F.coalesce("__b", none))
+    zero = F.lit(0).cast("long")
+    total = lambda m: F.aggregate(F.map_values(m), zero, lambda s, x: s + x)
+    shared = F.filter(F.map_keys("__a"), lambda t: F.map_contains_key(F.col("__b"), t))
+    least = F.aggregate(shared, zero, lambda s, t: s + F.least(F.element_at("__a", t), F.element_at("__b", t)))
+    scored = both.withColumn("__n", least).withColumn("__m", total(F.col("__a")) + total(F.col("__b")) - F.col("__n"))
+    return scored.withColumn(name, F.coalesce(F.try_divide("__n", "__m"), F.lit(0.0))).drop("__a", "__b", "__n", "__m")
 
 
 def backward_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: Column, name: str) -> DataFrame:

@@ -19,6 +19,7 @@ _CONTROL = frozenset("if for while switch catch return sizeof do else".split())
 def split_functions(code: str) -> list[dict]:
     """name, first and last line (from 1) and return type of each function with a body."""
     hidden = re.sub(r'/\*[\s\S]*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    hidden = re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), hidden)
     out, at = [], 0
     while m := _HEAD.search(hidden, at):
         if m[2] in _CONTROL:
