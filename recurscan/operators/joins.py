@@ -49,8 +49,9 @@ def multiset_jaccard_join(targets: DataFrame, corpus: DataFrame, threshold: floa
     """dst_id, vuln_id, n_dst, n_vuln, inter, sim of all pairs with multiset Jaccard similarity at or above the threshold.
 
     Each set is ordered by how rare its elements are in the corpus. Two similar sets share an element among the first
-    n - ceil(threshold * n) + 1 of each, so only these are joined (with the bound on sizes); pairs found are then counted on whole
-    sets. Frequent tokens stand last and hardly ever join.
+    n - ceil(threshold * n) + 1 of each, so only these are joined (with the bound on sizes). Of the set whose prefix ends first, all
+    shared elements up to there are among the c joined ones, so the overlap is at most c and what lies behind that prefix;
+    only pairs that can still reach the threshold are counted on whole sets. Frequent tokens stand last and hardly ever join.
     """
     t = F.lit(str(threshold)).cast("decimal(12,8)")
     left, right = _elements(targets, id_, tokens), _elements(corpus, id_, tokens)
@@ -61,10 +62,14 @@ def multiset_jaccard_join(targets: DataFrame, corpus: DataFrame, threshold: floa
         ranked = rows.join(rare, "e", how).withColumn("r", F.row_number().over(first))
         return ranked.where(F.col("r") <= F.col("n") - F.ceil(t * F.col("n")) + 1).where("df is not null").select("id", "n", "e")
 
+    behind = lambda n: F.ceil(t * F.col(n)) - 1  # noqa: E731  elements after the prefix
+
     a = prefix(left, "left").select(F.col("id").alias("dst_id"), F.col("n").alias("n_dst"), "e")
     b = prefix(right, "inner").select(F.col("id").alias("vuln_id"), F.col("n").alias("n_vuln"), "e")
     band = (F.col("n_vuln") >= t * F.col("n_dst")) & (F.col("n_dst") >= t * F.col("n_vuln"))
-    pairs = a.join(b, "e").where(band).select("dst_id", "vuln_id", "n_dst", "n_vuln").distinct()
+    pairs = a.join(b, "e").where(band).groupBy("dst_id", "vuln_id", "n_dst", "n_vuln").agg(F.count("*").alias("c"))
+    most = F.col("c") + F.greatest(behind("n_dst"), behind("n_vuln"))
+    pairs = pairs.where((1 + t) * most >= t * (F.col("n_dst") + F.col("n_vuln"))).drop("c")
     gather = lambda rows, name, s: rows.groupBy("id").agg(F.collect_list("e").alias(s)).withColumnRenamed("id", name)  # noqa: E731  one row per function
     full = pairs.join(gather(left, "dst_id", "s"), "dst_id").join(gather(right, "vuln_id", "u"), "vuln_id")
     full = full.withColumn("inter", F.size(F.array_intersect("s", "u")))

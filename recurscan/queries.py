@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import features, strings, text, tokens, trees, vectors
 from .operators import flows, joins, results, syntax
+from .scratch import written
 from .sources.code import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,7 +254,7 @@ WHERE (masks.try, b0 & m0, b1 & m1, b2 & m2) IN (SELECT (try, k0, k1, k2) FROM c
 
 @query(_subset_sql())
 def subset_semi_join(spark, sf_dir):
-    vector = lambda t, id_, c: table(spark, sf_dir, t).select(F.col(id_).alias("id"), features.bit_words(features.positions(F.coalesce(c, F.lit("")))).alias("bits"))
+    vector = lambda t, id_, c: written(table(spark, sf_dir, t).select(F.col(id_).alias("id"), features.bit_words(features.positions(F.coalesce(c, F.lit("")))).alias("bits")), "bits")
     found = joins.subset_semi_join(vector("documents", "doc_id", "text"), vector("benchmark", "item_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "first_try", (-F.col("first_try")).alias("score"))
 
