@@ -32,7 +32,7 @@ from .common import small_batches, tidied
 
 LEAF_BYTES = 48
 LEAF_CHARS = 1 << 15
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
