@@ -1,0 +1,19 @@
+from recurscan import queries as core
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_distance_of_whole_texts(spark, tmp_path):
+    head = "x y z, " * 40
+    texts = [head + "one tail", head + "another tail", head, "é" + head + "w" * 300, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.old_id: r.distance for r in core.queries()["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    plain = ["".join(c for c in t if ord(c) < 128) for t in texts]
+    assert got == {i: distance(a, b) for i, (a, b) in enumerate(zip(plain, plain[1:]))} and got[0] > 0
