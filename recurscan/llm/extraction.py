@@ -6,8 +6,8 @@ repeat). Runs of at least REPEAT tokens that occur on two distinct pages or more
 
 A page's blocks come from its markup: containers that hold something else than text for readers (menus, site headers, footers,
 sidebars, notices, adverts, forms, comments, scripts, styles) are out by their element, role or class. What is in the article (or
-main) element then stays whole, also if other pages repeat it, since copies of an article are articles. On a page that
-marks no article, the covered tokens of repeated runs are removed and the unique runs kept.
+main) element then stays whole, also if other pages repeat it, since copies of an article are articles. Outside it, and on a page
+that marks no article, the covered tokens of repeated runs are removed and the unique runs kept.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one line break. A null
 page counts as empty; an empty one, or one without main text, has the empty text. Repeated rows of one page id count
@@ -176,9 +176,9 @@ def extract_group(pages: list[str], owner: list) -> list[str]:
             words = text.split(" ")
             live = ~on[at + 1 : at + 1 + len(words)]
             at += 1 + len(words)
-            if off or marked and not art:
+            if off:
                 continue
-            if marked:
+            if marked and art:
                 kept.append(text)
             elif live.any():
                 edge = np.flatnonzero(np.diff(np.r_[True, live, True]))
