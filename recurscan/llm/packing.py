@@ -8,8 +8,9 @@ windows and partitions without any task waiting for another. Sequences are cut f
 ``length`` tokens; what remains at the very end is cut into powers of two, which need no padding.
 
 A null text counts as empty; each document ends with the end id, so an empty one has one token. A null source is a source
-of its own. Repeated rows are packed each. An empty table gives no rows. Other columns are ignored. Beyond
-``most_queues`` sources, sources share queues by a hash of their names.
+of its own. Repeated rows are packed each. An empty table gives no rows. Other columns are ignored. Every source has a queue of
+its own, however many there are: up to ``most_queues`` names are numbered on the driver, more in a table that is joined. Only the
+queues' lengths are held by the driver and by each task.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import small_batches, stash, tidied
 
 WINDOW = 1 << 16
 MOST_QUEUES = 256
+HELD_PLACES = 1 << 20
 
 
 class Ids:
@@ -62,7 +64,9 @@ class Schedule:
     def __init__(self, totals: list[int], weights: list[int], window: int, length: int):
         self.totals, self.weights, self.window, self.length = totals, weights, window, length
         self.all, self.tokens = sum(weights), sum(totals)
-        self.edge = lru_cache(4096)(self._edge)
+        self.held, self.shares = np.array(totals, np.int64), np.array(weights, np.int64)
+        self.fits = 0 < self.all < 1 << 42 and max(weights) < 1 << 40
+        self.round = lru_cache(max(4, HELD_PLACES // max(1, len(totals))))(self._round)
 
     def entitled(self, q: int, rounds: int) -> int:
         return min(self.totals[q], rounds * self.window * self.weights[q] // self.all)
@@ -71,10 +75,25 @@ class Schedule:
         """The window that serves token k of queue q."""
         return -(-(k + 1) * self.all // (self.window * self.weights[q])) - 1
 
-    def _edge(self, q: int, r: int) -> tuple[int, int, int]:
+    def entitlements(self, rounds: int) -> np.ndarray:
+        """entitled() of every queue."""
+        turns, served = divmod(rounds * self.window, max(1, self.all))
+        if self.fits and rounds * self.window < 1 << 62:  # served * share in two halves of at most 63 bits
+            high, rest = np.divmod(served * (self.shares >> 20), self.all)
+            due = turns * self.shares + (high << 20) + ((rest << 20) + served * (self.shares & 0xFFFFF)) // self.all
+        else:
+            due = np.array([self.entitled(q, rounds) for q in range(len(self.totals))], np.int64)
+        return np.minimum(self.held, due)
+
+    def _round(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In window r, of every queue: first token, one past its last, and the stream's place of the first."""
+        first, last = self.entitlements(r), self.entitlements(r + 1)
+        sizes = np.cumsum(last - first)
+        return first, last, int(first.sum()) + sizes - (last - first)
+
+    def edge(self, q: int, r: int) -> tuple[int, int, int]:
         """In window r: queue q's first token, one past its last, and the stream's place of the first."""
-        done = sum(self.entitled(x, r + (x < q)) for x in range(len(self.totals)))
-        return self.entitled(q, r), self.entitled(q, r + 1), done
+        return tuple(int(x[q]) for x in self.round(r))
 
     def sequence(self, place: int) -> tuple[int, int, int]:
         """The sequence of a place of the stream, the offset there, and how many tokens the sequence has (all are full or
@@ -103,13 +122,15 @@ class Schedule:
 
 def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str | None, key: str, text: str, source: str, end_id: int, most_queues: int) -> DataFrame:
     """Part, queue, key, start of the document in its part of the queue, number of tokens, ids (little-endian, 2 or 4 bytes)."""
-    names = docs.select(F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("s")).distinct().limit(most_queues + 1).collect()
-    if len(names) <= most_queues:
-        queue_of = {r["s"]: i for i, r in enumerate(sorted(names))}
-        queue = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    some = docs.select(name.alias("s")).distinct().limit(most_queues + 1).collect()
+    kept = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), name.alias("q"))
+    if len(some) <= most_queues:
+        queue_of = {r["s"]: i for i, r in enumerate(sorted(some))}
     else:
-        queue_of, queue = None, F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(most_queues)).cast("string")
-    kept = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), queue.alias("q"))
+        queue_of = None
+        sources = docs.select(name.alias("s")).distinct().withColumn("n", F.row_number().over(Window.orderBy("s")) - 1)
+        kept = kept.join(F.broadcast(stash(sources, "sources")), F.col("q") == F.col("s")).select("id", "t", F.col("n").alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ends = TaskContext.get().partitionId(), {}
@@ -118,7 +139,7 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str |
             for lo in range(0, batch.num_rows, 256):
                 cols: list[list] = [[], [], [], [], []]
                 for id_, t, q in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
-                    q = int(q) if queue_of is None else queue_of[q]
+                    q = q if queue_of is None else queue_of[q]
                     toks = np.array([*ids(t), end_id], dtype="<u4")
                     at = ends.get(q, 0)
                     ends[q] = at + len(toks)
