@@ -12,6 +12,7 @@
    over the pairs that look similar enough by their bits; they are checked exactly, on the sorted sets, and joined into
    components. In a second round the tiles name every pair left by the bound whose ends are in different components, and
    these are checked too. So a group of n near copies gives about n pairs, and no link between components is missed.
+   links() names every link between distinct sets.
 5. Links are joined into components; a document has the smallest id of its component.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows of one id are one document:
@@ -22,6 +23,7 @@ same set, else none. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +210,8 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(tidied(_exact), "a bigint, b bigint").distinct()
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """One row for each row: key, n_shingles, component_id."""
+def _tiled(docs: DataFrame, key: str, text: str, tile: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts, their sketches, the nodes, the nodes' rows in tiles, the nodes' bitmaps."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kinds = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, bits binary"
@@ -222,6 +224,48 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
     dealt = blocks.select("k", "id", "f1", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y")).select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "id", "f1")
     dealt = stash(dealt, "tiles")
     maps = stash(made.join(dealt.select("id", "f1").distinct(), ["id", "f1"], "left_semi").select("id", "f1", "n", "bits").dropDuplicates(["id", "f1"]), "bitmaps")
+    return texts, made, node, dealt, maps
+
+
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (k, i, j, id, n, bits) sorted by k, i, j: every pair (a, b) that passes the bound in its tile."""
+
+    def pairs(rows):
+        rows.sort(key=lambda r: (r[1], r[0]))
+        tile = Tile([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        for a, b in tile.across(np.arange(len(rows))):
+            yield min(a, b), max(a, b)
+
+    def found():
+        key, rows = None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                for k, i, j, id_, n, bits in zip(*(c.to_pylist() for c in batch.slice(lo, 1000).columns)):
+                    if (k, i, j) != key:
+                        if len(rows) > 1:
+                            yield from pairs(rows)
+                        key, rows = (k, i, j), []
+                    rows.append((id_, n, bits))
+        if len(rows) > 1:
+            yield from pairs(rows)
+
+    it = found()
+    while some := list(islice(it, 20_000)):
+        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in some], pa.int64()) for c in range(2)], ["a", "b"])
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """Every link between distinct sets, not just those of a forest: a < b, the smallest ids of the two sets. Rows grow with
+    the square of a family of near copies; exact copies add none."""
+    texts, _, _, dealt, maps = _tiled(docs, key, text, tile)
+    full = dealt.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits")
+    pairs = full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidied(_every), "a bigint, b bigint").distinct()
+    return _linked(stash(pairs, "pairs"), texts)
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row for each row: key, n_shingles, component_id."""
+    texts, made, node, dealt, maps = _tiled(docs, key, text, tile)
 
     def named(rows: DataFrame, first: bool) -> DataFrame:
         full = rows.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits", "label")
@@ -229,14 +273,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
 
     one = stash(named(dealt.withColumn("label", F.col("id")), True), "forest")
     pairs = one.where("a is not null").select("a", "b").distinct()
-    links = stash(_linked(pairs, texts), "links")
-    comp = components(links)
+    joined = stash(_linked(pairs, texts), "links")
+    comp = components(joined)
     live = dealt.join(one.where("k is not null").select("k", "i", "j").distinct(), ["k", "i", "j"])
     live = live.join(comp.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = live.groupBy("k", "i", "j").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k", "i", "j")
     two = named(live.join(mixed, ["k", "i", "j"]), False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = stash(_linked(stash(two, "across"), texts), "links")
     if not more.isEmpty():
-        comp = components(links.unionByName(more))
+        comp = components(joined.unionByName(more))
     named_sets = node.join(comp, node["rep"] == comp["id"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     return made.select("id", "n", "f1", "f2").join(named_sets, ["n", "f1", "f2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
