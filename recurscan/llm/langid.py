@@ -8,8 +8,8 @@ The posterior of a text's language is the product of
 * a prior of its host, smoothed towards that of the address suffix, which is smoothed towards that of all rows.
 
 Declared languages, suffixes and hosts are summed over all rows by grouped aggregation of the text posteriors; a row's own share
-is taken out of its host's sum. The tables of declared languages and of suffixes keep their MOST most frequent values (others
-count as unknown); hosts are joined by key.
+is taken out of its host's sum. Every declared language, suffix and host counts: the MOST most frequent declared languages and
+suffixes are looked up in tables of the driver's, all others and the hosts are joined by key.
 
 A null or empty text, or one without letters, gives no evidence: its language is ``und``, it has probability 0 and is rejected. So is
 a text whose best language has a posterior below LEAST. A null declaration, host or suffix says nothing. Repeated rows count each;
@@ -134,31 +134,45 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
     sums = [F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(size)]
     able = seen.where("n > 0")
 
-    def table(by: str) -> dict[str, np.ndarray]:
-        top = able.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("c"), *sums).orderBy(F.desc("c"), by).limit(MOST).collect()
-        return {r[by]: np.array([r[f"p{i}"] for i in range(size)]) for r in top}
+    def table(by: str) -> tuple[dict[str, np.ndarray], DataFrame, int]:
+        """Sums of the most frequent values, all values' sums, and the number of values."""
+        found = stash(able.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("c"), F.array(*sums).alias(f"{by}p")), "values")
+        top = found.orderBy(F.desc("c"), by).limit(MOST).collect()
+        return {r[by]: np.array(r[f"{by}p"]) for r in top}, found, found.count() if len(top) == MOST else len(top)
+
+    def with_rest(to: DataFrame, by: str, top: dict[str, np.ndarray], found: DataFrame, n: int) -> DataFrame:
+        """Adds {by}p, the sums of the values that are not among the top ones."""
+        if n == len(top):
+            return to.withColumn(f"{by}p", F.lit(None).cast("array<double>"))
+        # frequent values and nulls find nothing; their keys are spread, so that no task has all of them
+        rest = F.col(by).isNotNull() & ~F.col(by).isin(list(top))
+        key = F.when(rest, F.concat(F.lit("="), by)).otherwise(F.xxhash64("own", "ll").cast("string"))
+        tail = found.where(~F.col(by).isin(list(top))).select(F.concat(F.lit("="), by).alias("key"), f"{by}p")
+        return to.withColumn("key", key).join(tail, "key", "left").drop("key")
 
     whole = able.agg(*sums).first()
     overall = np.array([whole[f"p{i}"] or 0.0 for i in range(size)]) + 1
     base = overall / overall.sum()
-    by_declared, by_suffix = table("d"), table("s")
+    (by_declared, all_declared, n_declared), (by_suffix, all_suffixes, n_suffixes) = table("d"), table("s")
     # of a declared value given a language; smoothed so that no value rules a language out
-    told = {d: np.log((v + 0.5) / (overall + 0.5 * (len(by_declared) + 1))) for d, v in by_declared.items()}
-    near = {s: (v + SUFFIX_WEIGHT * base) / (v.sum() + SUFFIX_WEIGHT) for s, v in by_suffix.items()}
+    tell = lambda v: np.log((v + 0.5) / (overall + 0.5 * (n_declared + 1)))
+    lean = lambda v: (v + SUFFIX_WEIGHT * base) / (v.sum() + SUFFIX_WEIGHT)
+    told, near = {d: tell(v) for d, v in by_declared.items()}, {s: lean(v) for s, v in by_suffix.items()}
     hosts = able.where("h is not null").groupBy("h").agg(F.array(*sums).alias("hp"))
-    joined = seen.join(hosts, "h", "left").select("own", "d", "s", "n", "ll", "p", "hp")
+    full = with_rest(with_rest(seen, "d", by_declared, all_declared, n_declared), "s", by_suffix, all_suffixes, n_suffixes)
+    joined = full.join(hosts, "h", "left").select("own", "d", "s", "n", "ll", "p", "hp", "dp", "sp")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, s, n, hp = (batch.column(i).to_pylist() for i in (1, 2, 3, 6))
+            d, s, n, hp, dp, sp = (batch.column(i).to_pylist() for i in (1, 2, 3, 6, 7, 8))
             ll = np.array(batch.column(4).to_pylist(), float).reshape(-1, size)
             own = np.array(batch.column(5).to_pylist(), float).reshape(-1, size)
-            prior = np.array([near.get(x, base) for x in s])
+            prior = np.array([near.get(x, base) if v is None else lean(np.array(v)) for x, v in zip(s, sp)])
             seen_there = np.array([x if x is not None and m else o for x, m, o in zip(hp, n, own)]) - own
             prior = (np.maximum(seen_there, 0) + HOST_WEIGHT * prior) / (np.maximum(seen_there, 0).sum(1, keepdims=True) + HOST_WEIGHT)
-            odds = ll + np.log(prior) + np.array([told.get(x, np.zeros(size)) for x in d])
+            odds = ll + np.log(prior) + np.array([told.get(x, np.zeros(size)) if v is None else tell(np.array(v)) for x, v in zip(d, dp)])
             post = np.exp(odds - odds.max(1, keepdims=True))
             post /= post.sum(1, keepdims=True)
             best, some = post.argmax(1), np.array(n) > 0
