@@ -9,7 +9,8 @@ the border, and widens the window until what lies outside provably stays as it i
 * tokens of one long piece: a sequence of tokens is the encoding of its bytes if and only if each pair of neighbours is
   the encoding of its own bytes, so two checked pairs at the window's ends suffice.
 
-Decoding concatenates the tokens' bytes up the same tree.
+Decoding is one flat join of the
+tokens' bytes, not a tree.
 
 Nulls and empty texts have no tokens (the hashes are those of the empty string). Repeated rows give repeated results,
 an empty table an empty one; further columns are ignored unless asked for with ``keep``.
@@ -146,7 +147,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode_text(self, joined: str) -> bytes:
-        """Bytes of ids as encode_text() gives them; halves are concatenated up the tree, at C speed for the leaves."""
+        """Bytes of ids as encode_text() gives them; one flat join, no tree."""
         return b"".join(map(self.text_bytes.__getitem__, joined.split(" "))) if joined else b""
 
 
