@@ -8,9 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import features
 
 
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """df with a broadcast hint if it is known to have at most `most` rows; a shuffled join else."""
-    return F.broadcast(df) if rows <= most else df
+HOT, MOST_HOT = 4096, 1 << 20
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, spread: list[str], hot: int = HOT) -> DataFrame:
+    """rows left-joined with a table that has one row per key. Keys that more than `hot` rows have (by the table's column `count`,
+    which is dropped) are few, so they are broadcast once their number is checked; the other keys meet in a shuffled join, in which
+    rows of hot keys and of null ones are dealt by the columns `spread`, so no task gets all rows of a key."""
+    values = [c for c in table.columns if c not in (*on, count)]
+    many = table.where(F.col(count) > hot).select(*on, F.struct(*values).alias("__hot"))
+    few = many.limit(MOST_HOT + 1).count() <= MOST_HOT
+    marked = rows.join(F.broadcast(many) if few else many, on, "left")
+    done = F.col("__hot").isNotNull()
+    for c in on:
+        done = done | F.col(c).isNull()
+    marked = marked.withColumn("__s", F.when(done, F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(0))
+    cold = table.where(F.col(count) <= hot).select(*on, F.struct(*values).alias("__cold")).withColumn("__s", F.lit(0).cast("long"))
+    both = marked.join(cold, [*on, "__s"], "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col("__hot")[v], F.col("__cold")[v]).alias(v) for v in values])
 
 
 def old_new_pairs(functions: DataFrame, key: list[str], tag: str = "tag", id_: str = "id") -> DataFrame:
