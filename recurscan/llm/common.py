@@ -1,68 +1,27 @@
-"""Shared folder, scratch tables and small helpers of the corpus operators."""
+"""Small helpers of the corpus operators; their tables are written by recurscan.scratch."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: list[str] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..scratch import tables, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="recurscan-"))
-        path = sc._jsc.sc().getCheckpointDir().get()
-    return path.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+__all__ = ["documents", "mix", "own_columns", "small_batches", "tables", "tidied", "written"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most that many rows, unless the session asks for another number than the default: texts can be long,
-    and a batch is held in full on both sides."""
+    """Arrow batches of at most that many rows, unless the session sets a number itself: texts can be long, and a batch is held in
+    full on both sides. Results are lazy, so the setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if spark.conf.get(name, None) is None:
         spark.conf.set(name, str(rows))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recurscan/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write are of no use after it
-    try:
-        df.write.option("parquet.block.size", 1 << 24).parquet(path)  # small row groups: their buffers are on the heap
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    _OPEN.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; callers do this once the results that read them are written."""
-    while _OPEN:
-        fs, p = _fs(spark, _OPEN.pop())
-        fs.delete(p, True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on uint64 values (wraps)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,6 +33,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def own_columns(keep: tuple[str, ...], made: tuple[str, ...]) -> list[str]:
+    """The kept columns that do not have the name of one of the results': where they clash, the results win."""
+    return [c for c in dict.fromkeys(keep) if c not in made]
+
+
 def tidied(run):
     """run over Arrow batches, and memory given back to the system at its end: Python workers live on for later tasks."""
 

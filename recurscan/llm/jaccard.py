@@ -2,22 +2,27 @@
 
 1. Each text becomes the set of its distinct 5-word shingles (64-bit hashes). Texts with one set are one node, so copies cost
    a row each and nothing more.
-2. A node gets BANDS keys, each of ROWS minima of its set under multiplications by fixed odd numbers; nodes that share a
-   key share a tile. Two sets of similarity s share none with the chance (1 - s**ROWS)**BANDS, 1e-10 at 0.75. A tile is sorted
-   by size, and only sizes within the threshold's ratio meet. A key with more nodes than TILE is dealt into blocks of
-   nodes, and each pair of blocks is a tile of its own: no tile grows with the data.
+2. Tiles are banded by size: a node lies in the band of its size and in that of the largest size that it can be linked with (bands
+   are wide, so for most nodes these are one). Within a band, nodes that share one of BANDS keys, each of ROWS minima of the set under
+   multiplications by fixed odd numbers, share a tile. Two sets of similarity s share none with the chance
+   (1 - s**ROWS)**BANDS, 1e-10 at 0.75. A tile is sorted by size, and only sizes within the threshold's ratio meet.
 3. In a tile, bitmaps (as wide as the size band needs, folded to the narrower of two) bound the overlap from above:
    each bit of one bitmap that the other lacks is a shingle that the other lacks. Pairs below the threshold by this bound go.
 4. Only components are asked for, so not all pairs left need a look. In a first round a tile names the edges of a forest
    over the pairs that look similar enough by their bits; they are checked exactly, on the sorted sets, and joined into
-   components. In a second round the tiles name every pair left by the bound whose ends are in different components, and
+   components. In a last round the tiles name every pair left by the bound whose ends are in different components, and
    these are checked too. So a group of n near copies gives about n pairs, and no link between components is missed.
    links() names every link between distinct sets.
-5. Links are joined into components; a document has the smallest id of its component.
+5. A key with more nodes than TILE is dealt into blocks. In the first round each block is a tile by itself; then one
+   node of each component in the key stands for it, and these meet in blocks of their own, until that joins no more. The last
+   round deals a key's nodes by component: blocks of one and the same component never meet, so a family of n near
+   copies costs n / TILE tiles and not their square. Only nodes that stay apart though they share a key are compared all with all.
+6. Links are joined into components; a document has the smallest id of its component.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows of one id are one document:
 it has the links of each of its texts. A row without an id has its set's component, if a row with an id has the
-same set, else none. An empty table gives no rows.
+same set, else none. Very long texts are read whole (a slice of a batch holds about 1 MB of texts, or one text). An empty table
+gives no rows. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from . import words
-from .common import mix, small_batches, stash, tidied
+from .common import mix, small_batches, tables, tidied, written
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4
 ROWS, BANDS = 3, 42
-TILE = 4096
+TILE = 1024
+BAND = 4  # a size band spans sizes of a factor of 2 ** BAND
 SURE = 1.08
 _BY = mix(np.arange(1000, 1000 + ROWS * BANDS, dtype=np.uint64)) | np.uint64(1)
 _JOIN = mix(np.arange(5000, 5000 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
+def bands(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The size band of each size, and that of the largest size that it can be linked with."""
+    wide = lambda x: np.frexp(x.astype(np.float64))[1] // BAND
+    return wide(n), wide(n * DEN // NUM)
+
+
 def width(n: int) -> int:
     """Bits of the bitmap of a set of that size."""
     return max(64, 1 << (8 * n - 1).bit_length())
@@ -55,18 +68,25 @@ def _sketches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
         keys = np.zeros((len(full), BANDS), np.uint64)
         bitmaps: list[bytes] = [b""] * len(n)
+        copies = np.zeros(len(n), np.int64)
         if len(full):
             lead = at[:-1][full]
             f1[full], f2[full] = np.add.reduceat(mix(s), lead), np.add.reduceat(mix(s * np.uint64(0xD6E8FEB86659FD93)), lead)
             for b in range(BANDS):
                 for r in range(ROWS):
                     keys[:, b] += np.minimum.reduceat(s * _BY[b * ROWS + r], lead) * _JOIN[r]
-            keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
+            low, high = bands(n[full])
+            sides = [np.arange(len(full)), np.flatnonzero(high != low)]
+            near = np.concatenate(sides)
+            order = np.argsort(near, kind="stable")
+            band = np.concatenate((low, high[sides[1]]))[order].astype(np.uint64)
+            keys = mix(keys[near[order]] + np.arange(BANDS, dtype=np.uint64) + (band * np.uint64(0x9E3779B97F4A7C15))[:, None])
+            copies[full] = 1 + (high != low)
             for i in full.tolist():
                 bits = np.zeros(width(int(n[i])), np.uint8)
                 bits[(s[at[i] : at[i + 1]] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
                 bitmaps[i] = np.packbits(bits, bitorder="little").tobytes()
-        offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
+        offsets = np.concatenate(([0], np.cumsum(BANDS * copies))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.array(bitmaps, pa.binary())], ["id", "n", "f1", "f2", "keys", "bits"])
 
@@ -165,7 +185,7 @@ def _tiles(first: bool):
         def flush():
             cols = [[p[0] for p in pairs] + [None] * len(live), [p[1] for p in pairs] + [None] * len(live), *([None] * len(pairs) + [t[c] for t in live] for c in range(3))]
             pairs.clear(), live.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "b", "k", "i", "j"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 5)], ["a", "b", "k", "i", "j"])
 
         key, rows = None, []
         for batch in batches:
@@ -211,20 +231,45 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _tiled(docs: DataFrame, key: str, text: str, tile: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Texts, their sketches, the nodes, the nodes' rows in tiles, the nodes' bitmaps."""
+    """Texts, their sketches, the nodes, the nodes' keys (k, id, f1, c) that others share, the nodes' bitmaps."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kinds = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, bits binary"
-    made = stash(texts.mapInArrow(tidied(lambda it: (p for b in it for p in _sketches(b))), kinds), "sketches")
-    node = stash(made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "nodes")
+    made = written(texts.mapInArrow(tidied(lambda it: (p for b in it for p in _sketches(b))), kinds), "sketches")
+    node = written(made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "nodes")
     # a node's keys and bitmap come with its smallest id
     nodes = made.where("n > 0 and id is not null").join(node.where("rep is not null"), ["n", "f1", "f2"]).where("id = rep")
-    posts = nodes.select("id", "f1", F.explode("keys").alias("k")).withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
+    each = nodes.select("id", "f1", F.explode("keys").alias("k"))
+    keys = written(each.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", "c", F.col("c").alias("of")), "keys")
+    posts = written(lookup(each, keys, ["k"], "of", ["id", "f1"], tile).where("c is not null"), "tiles")
+    maps = written(made.join(posts.select("id", "f1").distinct(), ["id", "f1"], "left_semi").select("id", "f1", "n", "bits").dropDuplicates(["id", "f1"]), "bitmaps")
+    return texts, made, node, posts, maps
+
+
+def _all_blocks(posts: DataFrame, tile: int) -> DataFrame:
+    """Rows (k, i, j, id, f1): each key in blocks, and each pair of its blocks a tile."""
     blocks = posts.withColumn("m", F.ceil(F.col("c") / tile).cast("int")).withColumn("x", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    dealt = blocks.select("k", "id", "f1", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y")).select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "id", "f1")
-    dealt = stash(dealt, "tiles")
-    maps = stash(made.join(dealt.select("id", "f1").distinct(), ["id", "f1"], "left_semi").select("id", "f1", "n", "bits").dropDuplicates(["id", "f1"]), "bitmaps")
-    return texts, made, node, dealt, maps
+    return blocks.select("k", "id", "f1", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y")).select("k", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "id", "f1")
+
+
+def _by_component(posts: DataFrame, tile: int) -> DataFrame:
+    """Rows (k, i, j, id, f1, label) of keys with several labels, dealt by label: a label with more nodes than a tile has blocks of its
+    own, smaller ones share blocks; all pairs of blocks are tiles but those of one label."""
+    per = posts.groupBy("k", "label").agg(F.count("*").alias("n"))
+    keys = per.groupBy("k").agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("n") <= tile, F.col("n"))), F.lit(0)).alias("rest")).where("labels > 1")
+    big = F.col("n") > tile
+    parts = F.when(big, F.ceil(F.col("n") / tile)).otherwise(1).cast("int")
+    shared = F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest") / tile), F.lit(1)))
+    per = per.join(keys, "k").select("k", "label", "n", F.when(big, F.col("label")).alias("own"), shared.alias("at"), parts.alias("parts"))
+    per = written(per, "labels")
+    block = F.xxhash64("own", "at", "part")
+    each = per.select("k", "own", F.when(F.col("own").isNull(), F.col("at")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct()
+    each = each.select("k", "own", block.alias("x"))
+    pairs = each.alias("p").join(each.alias("q"), "k").where("p.own is null or q.own is null or p.own <> q.own")
+    pairs = pairs.select("k", F.col("p.x").alias("x"), F.least("p.x", "q.x").alias("i"), F.greatest("p.x", "q.x").alias("j")).distinct()
+    rows = lookup(posts.select("k", "id", "f1", "label"), per.select("k", "label", "n", "own", F.when(F.col("own").isNull(), F.col("at")).alias("at"), "parts"), ["k", "label"], "n", ["id", "f1"]).where("parts is not null")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "f1"), F.col("parts")).cast("int")).withColumn("x", block)
+    return rows.join(pairs, ["k", "x"]).select("k", "i", "j", "id", "f1", "label")
 
 
 def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,33 +299,66 @@ def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in some], pa.int64()) for c in range(2)], ["a", "b"])
 
 
+def _dealt(rows: DataFrame, maps: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of tiles with their bitmaps, tile after tile."""
+    full = rows.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits", *more)
+    return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """Every link between distinct sets, not just those of a forest: a < b, the smallest ids of the two sets. Rows grow with
     the square of a family of near copies; exact copies add none."""
-    texts, _, _, dealt, maps = _tiled(docs, key, text, tile)
-    full = dealt.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits")
-    pairs = full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidied(_every), "a bigint, b bigint").distinct()
-    return _linked(stash(pairs, "pairs"), texts)
+    with tables(docs.sparkSession):
+        texts, _, _, posts, maps = _tiled(docs, key, text, tile)
+        pairs = _dealt(_all_blocks(posts, tile), maps).mapInArrow(tidied(_every), "a bigint, b bigint").distinct()
+        return written(_linked(written(pairs, "pairs"), texts), "links", keep=True)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """One row for each row: key, n_shingles, component_id."""
-    texts, made, node, dealt, maps = _tiled(docs, key, text, tile)
-
-    def named(rows: DataFrame, first: bool) -> DataFrame:
-        full = rows.join(maps, ["id", "f1"]).select("k", "i", "j", "id", "n", "bits", "label")
-        return full.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(tidied(_tiles(first)), "a bigint, b bigint, k bigint, i int, j int")
-
-    one = stash(named(dealt.withColumn("label", F.col("id")), True), "forest")
-    pairs = one.where("a is not null").select("a", "b").distinct()
-    joined = stash(_linked(pairs, texts), "links")
-    comp = components(joined)
-    live = dealt.join(one.where("k is not null").select("k", "i", "j").distinct(), ["k", "i", "j"])
-    live = live.join(comp.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = live.groupBy("k", "i", "j").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k", "i", "j")
-    two = named(live.join(mixed, ["k", "i", "j"]), False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stash(_linked(stash(two, "across"), texts), "links")
-    if not more.isEmpty():
-        comp = components(joined.unionByName(more))
-    named_sets = node.join(comp, node["rep"] == comp["id"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    return made.select("id", "n", "f1", "f2").join(named_sets, ["n", "f1", "f2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    with tables(docs.sparkSession):
+        texts, made, node, posts, maps = _tiled(docs, key, text, tile)
+        kind = "a bigint, b bigint, k bigint, i bigint, j bigint"
+        at = lambda i, j: (F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) if isinstance(i, int) else (i.cast("long").alias("i"), j.cast("long").alias("j"))
+        named = lambda rows, first: _dealt(rows, maps, ("label",)).mapInArrow(tidied(_tiles(first)), kind)
+        cold, hot = posts.where(F.col("c") <= tile), posts.where(F.col("c") > tile)
+
+        x = F.pmod(F.xxhash64("id", "f1"), F.ceil(F.col("c") / tile))
+        one = cold.select("k", *at(0, 0), "id", "f1", F.col("id").alias("label")).unionByName(hot.select("k", *at(x, x), "id", "f1", F.col("id").alias("label")))
+        one = written(named(one, True), "forest")
+        pairs = one.where("a is not null").select("a", "b").distinct()
+        found = written(_linked(pairs, texts), "links")
+        comp = components(found)
+        labelled = lambda rows: rows.join(comp.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+        # one node of each component of a hot key stands for it
+        left = None
+        while not hot.isEmpty():
+            reps = labelled(hot).groupBy("k", "label").agg(F.min(F.struct("id", "f1")).alias("r"))
+            reps = written(reps.select("k", "label", "r.*"), "reps")
+            many = reps.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+            now = many.agg(F.sum("c")).first()[0] or 0
+            if not now or left is not None and now > 0.8 * left:
+                break
+            left = now
+            again = F.pmod(F.xxhash64("id", "f1", F.lit(left)), F.ceil(F.col("c") / tile))
+            rows = reps.join(many, "k").select("k", *at(again, again), "id", "f1", "label")
+            more = written(_linked(named(rows, True).where("a is not null").select("a", "b").distinct(), texts), "links")
+            if more.isEmpty():
+                break
+            found = written(found.unionByName(more), "links")
+            comp = components(found)
+
+        live = labelled(cold.join(one.where("k is not null").select("k").distinct(), "k"))
+        mixed = live.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
+        last = live.join(mixed, "k").select("k", *at(0, 0), "id", "f1", "label")
+        if left:
+            last = last.unionByName(_by_component(labelled(hot), tile))
+        two = named(last, False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = written(_linked(written(two, "across"), texts), "links")
+        if not more.isEmpty():
+            comp = components(found.unionByName(more))
+        named_sets = node.join(comp, node["rep"] == comp["id"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+        out = made.select("id", "n", "f1", "f2").join(named_sets, ["n", "f1", "f2"], "left")
+        out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        return written(out, "classes", keep=True)
