@@ -7,13 +7,15 @@ The posterior of a text's language is the product of
 * the likelihood of its declared language given the language, and
 * a prior of its host, smoothed towards that of the address suffix, which is smoothed towards that of all rows.
 
-Declared languages, suffixes and hosts are summed over all rows by grouped aggregation of the text posteriors; a row's own share
-is taken out of its host's sum. Every declared language, suffix and host counts: the MOST most frequent declared languages and
-suffixes are looked up in tables of the driver's, all others and the hosts are joined by key.
+Declared languages, suffixes and hosts are summed over all rows by grouped aggregation of the text posteriors (combined before
+the shuffle), and every value's sums are joined back by key, frequent values by a broadcast; a row's own share is taken out of
+each of its three sums, so no row is evidence for itself.
 
 A null or empty text, or one without letters, gives no evidence: its language is ``und``, it has probability 0 and is rejected. So is
-a text whose best language has a posterior below LEAST. A null declaration, host or suffix says nothing. Repeated rows count each;
-an empty table gives no rows; without any training row all is ``und``. Of other columns only the kept ones are passed on.
+a text whose best language has a posterior below LEAST; of languages with equal posteriors the first by name is given. Very long texts are
+read whole. A null declaration, host or suffix says nothing. Repeated rows count each;
+an empty table gives no rows; without any training row all is ``und``. Of other columns only the kept ones are passed on; kept
+ones named language, probability or kept give way to the results.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from . import words
-from .common import small_batches, stash, tidied
+from .common import own_columns, small_batches, tables, tidied, written
 
-SAMPLE, BUCKETS, STRENGTH, LEAST, MOST = 8000, 1 << 14, 60, 0.5, 1000
+SAMPLE, BUCKETS, STRENGTH, LEAST = 8000, 1 << 14, 60, 0.5
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 100.0
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -115,6 +118,11 @@ def suffix_of(host: Column) -> Column:
 def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, then language, probability and kept (whether the row stays)."""
     small_batches(rows.sparkSession)
+    with tables(rows.sparkSession):
+        return _identify(rows, model, text, declared, host, suffix, own_columns(keep, ("language", "probability", "kept")))
+
+
+def _identify(rows: DataFrame, model: TextModel, text: str, declared: str | None, host: str | None, suffix: str | None, keep: list[str]) -> DataFrame:
     pick = lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
     given = rows.select(F.struct(*keep).alias("own"), pick(declared).alias("d"), pick(host).alias("h"), pick(suffix).alias("s"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = given.schema["own"].dataType.simpleString()
@@ -128,56 +136,48 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * size), pa.array(x.astype(np.float64).ravel())) for x in (total, post)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(n.astype(np.int64)), *lists], ["own", "d", "h", "s", "n", "ll", "p"])
 
-    seen = stash(given.mapInArrow(tidied(read), f"own {kind}, d string, h string, s string, n bigint, ll array<double>, p array<double>"), "evidence")
+    seen = written(given.mapInArrow(tidied(read), f"own {kind}, d string, h string, s string, n bigint, ll array<double>, p array<double>").withColumn("u", F.monotonically_increasing_id()), "evidence", keep=True)
     if not size:
         return seen.select("own.*", F.lit("und").alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
     sums = [F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(size)]
     able = seen.where("n > 0")
-
-    def table(by: str) -> tuple[dict[str, np.ndarray], DataFrame, int]:
-        """Sums of the most frequent values, all values' sums, and the number of values."""
-        found = stash(able.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("c"), F.array(*sums).alias(f"{by}p")), "values")
-        top = found.orderBy(F.desc("c"), by).limit(MOST).collect()
-        return {r[by]: np.array(r[f"{by}p"]) for r in top}, found, found.count() if len(top) == MOST else len(top)
-
-    def with_rest(to: DataFrame, by: str, top: dict[str, np.ndarray], found: DataFrame, n: int) -> DataFrame:
-        """Adds {by}p, the sums of the values that are not among the top ones."""
-        if n == len(top):
-            return to.withColumn(f"{by}p", F.lit(None).cast("array<double>"))
-        # frequent values and nulls find nothing; their keys are spread, so that no task has all of them
-        rest = F.col(by).isNotNull() & ~F.col(by).isin(list(top))
-        key = F.when(rest, F.concat(F.lit("="), by)).otherwise(F.xxhash64("own", "ll").cast("string"))
-        tail = found.where(~F.col(by).isin(list(top))).select(F.concat(F.lit("="), by).alias("key"), f"{by}p")
-        return to.withColumn("key", key).join(tail, "key", "left").drop("key")
-
     whole = able.agg(*sums).first()
     overall = np.array([whole[f"p{i}"] or 0.0 for i in range(size)]) + 1
     base = overall / overall.sum()
-    (by_declared, all_declared, n_declared), (by_suffix, all_suffixes, n_suffixes) = table("d"), table("s")
-    # of a declared value given a language; smoothed so that no value rules a language out
-    tell = lambda v: np.log((v + 0.5) / (overall + 0.5 * (n_declared + 1)))
-    lean = lambda v: (v + SUFFIX_WEIGHT * base) / (v.sum() + SUFFIX_WEIGHT)
-    told, near = {d: tell(v) for d, v in by_declared.items()}, {s: lean(v) for s, v in by_suffix.items()}
-    hosts = able.where("h is not null").groupBy("h").agg(F.array(*sums).alias("hp"))
-    full = with_rest(with_rest(seen, "d", by_declared, all_declared, n_declared), "s", by_suffix, all_suffixes, n_suffixes)
-    joined = full.join(hosts, "h", "left").select("own", "d", "s", "n", "ll", "p", "hp", "dp", "sp")
+    full, values = seen, 1
+    for by in ("d", "s", "h"):
+        found = written(able.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("c"), F.array(*sums).alias(f"{by}p")), "values", keep=True)
+        values = found.count() + 1 if by == "d" else values
+        full = lookup(full, found, [by], "c", ["u"])
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, s, n, hp, dp, sp = (batch.column(i).to_pylist() for i in (1, 2, 3, 6, 7, 8))
-            ll = np.array(batch.column(4).to_pylist(), float).reshape(-1, size)
-            own = np.array(batch.column(5).to_pylist(), float).reshape(-1, size)
-            prior = np.array([near.get(x, base) if v is None else lean(np.array(v)) for x, v in zip(s, sp)])
-            seen_there = np.array([x if x is not None and m else o for x, m, o in zip(hp, n, own)]) - own
-            prior = (np.maximum(seen_there, 0) + HOST_WEIGHT * prior) / (np.maximum(seen_there, 0).sum(1, keepdims=True) + HOST_WEIGHT)
-            odds = ll + np.log(prior) + np.array([told.get(x, np.zeros(size)) if v is None else tell(np.array(v)) for x, v in zip(d, dp)])
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            ll, own = (np.array(batch.column(i).to_pylist(), float).reshape(-1, size) for i in (2, 3))
+
+            def others(i: int) -> tuple[np.ndarray, np.ndarray]:
+                """What the other rows of the same value say, and whether the row has a value that any row has."""
+                held = batch.column(i).to_pylist()
+                known = np.array([x is not None for x in held])
+                total = np.array([x if x is not None else np.zeros(size) for x in held]).reshape(-1, size)
+                return np.maximum(total - own * (known & (n > 0))[:, None], 0), known
+
+            told, declares = others(4)
+            near, _ = others(5)
+            there, _ = others(6)
+            prior = (near + SUFFIX_WEIGHT * base) / (near.sum(1, keepdims=True) + SUFFIX_WEIGHT)
+            prior = (there + HOST_WEIGHT * prior) / (there.sum(1, keepdims=True) + HOST_WEIGHT)
+            # of a declared value given a language; smoothed so that no value rules a language out
+            tell = np.log((told + 0.5) / (np.maximum(overall - own * (n > 0)[:, None], 0) + 0.5 * values))
+            odds = ll + np.log(prior) + np.where(declares[:, None], tell, 0)
             post = np.exp(odds - odds.max(1, keepdims=True))
             post /= post.sum(1, keepdims=True)
-            best, some = post.argmax(1), np.array(n) > 0
+            best, some = post.argmax(1), n > 0
             prob = np.where(some, post.max(1), 0.0)
             names = [langs[b] if x else "und" for b, x in zip(best, some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(prob), pa.array(some & (prob >= LEAST))], ["own", "language", "probability", "kept"])
 
-    return joined.mapInArrow(tidied(fuse), f"own {kind}, language string, probability double, kept boolean").select("own.*", "language", "probability", "kept")
+    fused = full.select("own", "n", "ll", "p", "dp", "sp", "hp").mapInArrow(tidied(fuse), f"own {kind}, language string, probability double, kept boolean")
+    return fused.select("own.*", "language", "probability", "kept")
