@@ -8,9 +8,10 @@ windows and partitions without any task waiting for another. Sequences are cut f
 ``length`` tokens; what remains at the very end is cut into powers of two, which need no padding.
 
 A null text counts as empty; each document ends with the end id, so an empty one has one token. A null source is a source
-of its own. Repeated rows are packed each. An empty table gives no rows. Other columns are ignored. Every source has a queue of
-its own, however many there are: up to ``most_queues`` names are numbered on the driver, more in a table that is joined. Only the
-queues' lengths are held by the driver and by each task.
+of its own. Rows without an id and repeated rows are packed each; rows of one source come in the order of their partitions. Very long
+texts fill as many windows as they need. An empty table gives no rows. Other columns, of whatever name, are ignored. Every source has a
+queue of its own, however many there are: a table numbers them in the order of their names. Only the queues' lengths are
+held by the driver and by each task.
 """
 
 from __future__ import annotations
@@ -22,21 +23,22 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..operators.joins import lookup
 from .bpe import load_ranks
-from .common import small_batches, stash, tidied
+from .common import small_batches, tables, tidied, written
 
 WINDOW = 1 << 16
-MOST_QUEUES = 256
 HELD_PLACES = 1 << 20
 
 
 class Ids:
     """Ids as the JSON file's tokenizer gives them. Latin-1 texts without its special strings go through the same merges'
-    rank file, which is four times as fast and gives the same ids; all other texts go through the tokenizer itself."""
+    rank file, which is four times as fast; the tests show that vocabulary, order of merges and, over all pairs and triples
+    of kinds of Latin-1 characters, the splitting are the same. All other texts go through the tokenizer itself."""
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
         self.tokenizer = Tokenizer.from_file(json_path)
@@ -120,17 +122,14 @@ class Schedule:
             done += take
 
 
-def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str | None, key: str, text: str, source: str, end_id: int, most_queues: int) -> DataFrame:
+def queue_name(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def tokenize(docs: DataFrame, queues: DataFrame, tokenizer: str, ranks: str | None, pattern: str | None, key: str, text: str, source: str, end_id: int) -> DataFrame:
     """Part, queue, key, start of the document in its part of the queue, number of tokens, ids (little-endian, 2 or 4 bytes)."""
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    some = docs.select(name.alias("s")).distinct().limit(most_queues + 1).collect()
-    kept = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), name.alias("q"))
-    if len(some) <= most_queues:
-        queue_of = {r["s"]: i for i, r in enumerate(sorted(some))}
-    else:
-        queue_of = None
-        sources = docs.select(name.alias("s")).distinct().withColumn("n", F.row_number().over(Window.orderBy("s")) - 1)
-        kept = kept.join(F.broadcast(stash(sources, "sources")), F.col("q") == F.col("s")).select("id", "t", F.col("n").alias("q"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), queue_name(F.col(source)).alias("s"))
+    kept = lookup(rows, queues, ["s"], "c", ["id", "t"]).select("id", "t", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ends = TaskContext.get().partitionId(), {}
@@ -139,7 +138,6 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str |
             for lo in range(0, batch.num_rows, 256):
                 cols: list[list] = [[], [], [], [], []]
                 for id_, t, q in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
-                    q = q if queue_of is None else queue_of[q]
                     toks = np.array([*ids(t), end_id], dtype="<u4")
                     at = ends.get(q, 0)
                     ends[q] = at + len(toks)
@@ -152,22 +150,33 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str |
     return kept.mapInArrow(tidied(run), "part int, id bigint, q int, at bigint, n bigint, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 0, length: int = 1024, window: int = WINDOW, weights: dict[int, int] | None = None, most_queues: int = MOST_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 0, length: int = 1024, window: int = WINDOW, weights: dict[str | None, int] | None = None) -> DataFrame:
     """Pieces of documents in sequences: key, start, length, ids (4 bytes each, little-endian), doc_tokens, sequence_id, offset.
 
-    weights: target shares by number of queue (sources in the order of their names); without, each source's share of all
+    weights: target shares by source (one that is not named has 1); without, each source's share of all
     tokens, so that all queues end with the last window. Tokens are made once and written to the shared folder;
     the second pass adds each part's place in its queues and cuts. Only the queues' lengths reach the driver.
     """
     small_batches(docs.sparkSession)
-    toks = stash(tokenize(docs, tokenizer, ranks, pattern, key, text, source, end_id, most_queues), "packing")
+    with tables(docs.sparkSession):
+        return _pack(docs, tokenizer, ranks, pattern, key, text, source, end_id, length, window, weights)
+
+
+def _pack(docs: DataFrame, tokenizer: str, ranks: str | None, pattern: str | None, key: str, text: str, source: str, end_id: int, length: int, window: int, weights: dict[str | None, int] | None) -> DataFrame:
+    names = docs.groupBy(queue_name(F.col(source)).alias("s")).agg(F.count("*").alias("c"))
+    queues = written(names.withColumn("q", F.row_number().over(Window.orderBy("s")) - 1), "queues")  # a row for each source
+    toks = written(tokenize(docs, queues, tokenizer, ranks, pattern, key, text, source, end_id), "packing", keep=True)
     parts = toks.groupBy("q", "part").agg(F.sum("n").alias("n"))
     totals = {r["q"]: r["n"] for r in parts.groupBy("q").agg(F.sum("n").alias("n")).collect()}
     n_queues = max(totals, default=-1) + 1
     held = [totals.get(q, 0) for q in range(n_queues)]
-    shares = held if weights is None else [max(1, weights.get(q, 0)) if held[q] else 0 for q in range(n_queues)]
+    shares = held
+    if weights is not None:
+        asked = {"" if s is None else f"={s}": w for s, w in weights.items()}
+        chosen = {r["q"]: asked[r["s"]] for r in queues.where(F.col("s").isin(list(asked))).collect()}
+        shares = [max(1, chosen.get(q, 1)) if held[q] else 0 for q in range(n_queues)]
     before = F.coalesce(F.sum("n").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = stash(parts.select("q", "part", before.alias("base")), "packing-base")
+    base = written(parts.select("q", "part", before.alias("base")), "packing-base", keep=True)
     names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
