@@ -10,11 +10,13 @@ A window is 50 consecutive words. Each word covered by a window that also starts
 
 Before each shuffle by hash, a slice of a task's texts is combined: what the slice itself decides (an anchor that it shares,
 a window that it also has under a smaller id) goes on as decided, under a spread key, and one row per hash and slice asks
-or tells the others. So a passage in a third of all documents sends a row per slice, not per document.
+or tells the others. So a passage in a third of all documents sends a row per slice, not per document. A hash that a document has
+many times goes on once for the document, marked as MANY, and is found again in the text by the next step: so a document of
+one word over and over is one row.
 
 Null texts count as empty. Rows without an id keep all their words and take none from others. Rows of one id take no words
 from each other. An empty table gives no rows. Other columns are passed on; where they clash with the results' names, the
-results win.
+results win. Very long texts are read whole; ties need no order, as only ids are compared.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import mix, small_batches, stash, tidied
+from .common import mix, small_batches, tables, tidied, written
 
 SIZE, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 ASK, DECIDED, TELL = 0, 1, 2
+MANY = 8
 _IN = np.zeros(PERIOD, bool)
 _IN[list(COVER)] = True
 
@@ -42,10 +45,25 @@ def _marks(w: words.Words) -> np.ndarray:
     return (mix(total[w.first[1:]] - total[w.first[:-1]]) >> np.uint64(48)).astype(np.int64)
 
 
-def _pack(pos: np.ndarray, mark: np.ndarray, state: int) -> np.ndarray:
+def _pack(pos: np.ndarray, mark: np.ndarray, state: np.ndarray | int) -> np.ndarray:
     return (pos << 20) | (mark << 4) | state
 
 
+def _first(doc: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document's equal hashes the first one, and MANY where there are more."""
+    order, lead = _runs((*hashes, doc))
+    more = np.diff(np.append(lead, len(order))) > 1
+    first = order[lead]
+    keep = np.argsort(first, kind="stable")
+    return first[keep], np.where(more[keep], MANY, 0)
+
+
+def _again(h: np.ndarray, at: np.ndarray, doc: np.ndarray, hits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The places `at` whose document has a hit of the same hash; hits and their documents `own`."""
+    name = lambda place, d: mix(h[place] + mix(d.astype(np.uint64) + np.uint64(1)))
+    return at[np.isin(name(at, doc), name(hits, own))] if len(hits) else hits
+
+
 def _spread(ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
 
@@ -74,6 +92,8 @@ def _anchors(size: int):
                 at = np.flatnonzero(_IN[pos % PERIOD] & (pos + length <= count[doc]) & (count[doc] >= size))
                 if not len(at):
                     continue
+                first, many = _first(doc[at], h[at])
+                at = at[first]
                 h, doc, pos = h[at], doc[at], pos[at]
                 ids, mark = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)[doc], _marks(w)[doc]
                 order, lead = _runs((h,))
@@ -82,7 +102,7 @@ def _anchors(size: int):
                 both[order] = np.repeat(low != high, np.diff(np.append(lead, len(h))))
                 tell = low != high
                 key = np.concatenate((np.where(both, _spread(ids, pos), h), h[order][lead][tell]))
-                v = np.concatenate((np.where(both, _pack(pos, mark, DECIDED), _pack(pos, mark, ASK)), np.full(tell.sum(), TELL)))
+                v = np.concatenate((_pack(pos, mark, np.where(both, DECIDED, ASK) | many), np.full(tell.sum(), TELL)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate((ids, low[tell]))), pa.array(v)], ["h", "id", "v"])
 
     return run
@@ -101,7 +121,16 @@ def _windows(size: int):
                 flat = np.asarray(hits.flatten(), np.int64)
                 doc = np.repeat(np.arange(len(count)), np.asarray(hits.value_lengths().fill_null(0)))
                 own = (flat >> 4 & 0xFFFF) == marks[doc]
-                doc, a = doc[own], flat[own] >> 20
+                doc, a, many = doc[own], flat[own] >> 20, (flat[own] & MANY) > 0
+                if many.any():  # all other places of these documents with the same anchor
+                    h = words.windows(w.hash, length)
+                    among = np.flatnonzero(np.isin(np.repeat(np.arange(len(count)), count), doc[many]))
+                    among_doc = np.repeat(np.arange(len(count)), count)[among]
+                    pos = among - w.first[among_doc]
+                    ok = _IN[pos % PERIOD] & (pos + length <= count[among_doc])
+                    more = _again(h, among[ok], among_doc[ok], w.first[doc[many]] + a[many], doc[many])
+                    more_doc = np.searchsorted(w.first, more, side="right") - 1
+                    doc, a = np.concatenate((doc, more_doc)), np.concatenate((a, more - w.first[more_doc]))
                 lo, hi = np.maximum(a - (size - length), 0), np.minimum(a, count[doc] - size)
                 step = np.zeros(len(w.hash) + 1, np.int64)
                 ok = lo <= hi
@@ -112,13 +141,15 @@ def _windows(size: int):
                     continue
                 h, g = words.windows(w.hash, size)[at], (words.windows(mix(w.hash), size)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc = np.searchsorted(w.first, at, side="right") - 1
+                first, many = _first(doc, g, h)
+                at, doc, h, g = at[first], doc[first], h[first], g[first]
                 pos, ids, mark = at - w.first[doc], np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)[doc], marks[doc]
                 order, lead = _runs((g, h))
                 low = np.empty(len(h), np.int64)
                 low[order] = np.repeat(np.minimum.reduceat(ids[order], lead), np.diff(np.append(lead, len(h))))
                 more = ids > low
                 key = np.where(more, _spread(ids, pos), h)
-                v = np.where(more, _pack(pos, mark, DECIDED), _pack(pos, mark, ASK))
+                v = _pack(pos, mark, np.where(more, DECIDED, ASK) | many)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(g), pa.array(ids), pa.array(v)], ["h", "g", "id", "v"])
 
     return run
@@ -135,6 +166,13 @@ def _cut(size: int):
                 doc = np.repeat(np.arange(len(count)), np.asarray(hits.value_lengths().fill_null(0)))
                 own = ((flat >> 4 & 0xFFFF) == marks[doc]) & ((flat >> 20) + size <= count[doc]) if len(flat) else np.zeros(0, bool)
                 at = w.first[doc[own]] + (flat[own] >> 20)
+                many = (flat[own] & MANY) > 0
+                if many.any():  # all other places of these documents with the same window
+                    h = words.windows(w.hash, size) + words.windows(mix(w.hash), size)
+                    of = np.repeat(np.arange(len(count)), count)
+                    among = np.flatnonzero(np.isin(of, doc[own][many]))
+                    among = among[among - w.first[of[among]] + size <= count[of[among]]]
+                    at = np.union1d(at, _again(h, among, of[among], at[many], doc[own][many]))
                 step = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(step, at, 1)
                 np.add.at(step, at + size, -1)
@@ -154,23 +192,28 @@ def _cut(size: int):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """The rows with text replaced by the words kept, joined by one space, and n_words, n_removed."""
     small_batches(docs.sparkSession)
+    with tables(docs.sparkSession):
+        return _remove_repeats(docs, key, text, size)
+
+
+def _remove_repeats(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     others = [c for c in docs.columns if c not in (key, text, "n_words", "n_removed")]
     rest = [F.struct(*others).alias("rest")] if others else []
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
-    state = F.col("v").bitwiseAND(15)
+    state = F.col("v").bitwiseAND(MANY - 1)
 
     by = Window.partitionBy("h")
     anchors = rows.where("id is not null").select("id", "text").mapInArrow(tidied(_anchors(size)), "h bigint, id bigint, v bigint")
     shared = anchors.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where((F.col("lo") < F.col("hi")) | (state == DECIDED)).where(state != TELL)
-    hits = stash(shared.groupBy("id").agg(F.collect_list("v").alias("hits")), "anchors")
+    hits = written(shared.groupBy("id").agg(F.collect_list("v").alias("hits")), "anchors")
 
     by = Window.partitionBy("h", "g")
-    found = rows.select("id", "text").join(hits.hint("shuffle_hash"), "id").select("id", "text", "hits").mapInArrow(tidied(_windows(size)), "h bigint, g int, id bigint, v bigint")
+    found = rows.select("id", "text").join(hits, "id").select("id", "text", "hits").mapInArrow(tidied(_windows(size)), "h bigint, g int, id bigint, v bigint")
     gone = found.withColumn("lo", F.min(F.when(state == ASK, F.col("id"))).over(by)).where((state == DECIDED) | (F.col("id") > F.col("lo")))
-    gone = stash(gone.groupBy("id").agg(F.collect_list("v").alias("gone")), "windows")
+    gone = written(gone.groupBy("id").agg(F.collect_list("v").alias("gone")), "windows", keep=True)
 
     kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if others else ""
-    joined = rows.join(gone.hint("shuffle_hash"), "id", "left").select("id", "text", "gone", *["rest"] * bool(others))
+    joined = rows.join(gone, "id", "left").select("id", "text", "gone", *["rest"] * bool(others))
     out = joined.mapInArrow(tidied(_cut(size)), f"id bigint, kept string, n_words bigint, n_removed bigint{kind}")
     order = [F.col("id").alias(key) if c == key else F.col("kept").alias(text) if c == text else F.col("rest")[c].alias(c) for c in docs.columns if c in (key, text, *others)]
     return out.select(*order, "n_words", "n_removed")

@@ -37,7 +37,7 @@ def corpus(seed):
             a = rng.randint(0, 20)
             t += p[a : a + rng.randint(40, 200)] + word(rng.randint(0, 30))
         rows.append((i * 3, rng.choice([" ", "\n", "  "]).join(t)))
-    rows += [(500, rows[7][1]), (501, rows[7][1]), (502, None), (503, ""), (504, "a " * 500), (505, "a " * 120), (1, " ".join(passages[5]))]
+    rows += [(500, rows[7][1]), (501, rows[7][1]), (502, None), (503, ""), (504, "a " * 500), (505, "a " * 120), (506, "b c " * 300), (507, "d " + "b c " * 40), (509, "e " + "a b c d e f g " * 40 + rows[5][1]), (508, "a b c d e f g " * 60), (1, " ".join(passages[5]))]
     rows += [(9, rows[4][1]), (9, rows[12][1]), (None, rows[4][1])]
     return rows
 
