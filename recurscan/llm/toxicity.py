@@ -10,9 +10,14 @@
 Labels are learnt from at most SAMPLE labelled rows (the smallest hashes of their ids) outside the held-out fold (crc32 of the
 id as text, mod 5, is 0). Everything else sees whole texts of all rows.
 
-A null text counts as empty; an empty text has the score of a text without any lexicon word. Labels without an id or with
-a null or other value than 0 and 1 are left out; of several labels for one id the highest counts. Without any usable label only the fixed list
-votes. Repeated rows are scored each; an empty table gives no rows. Other columns are passed on only if asked for.
+A beginning that several words of a text have is a term of its own for two and for MOST_TIMES words or more.
+
+A null text counts as empty; an empty text has the score of a text without any lexicon word; very long texts are read whole. Labels
+without an id or with
+a null or other value than 0 and 1 are left out; of several labels for one id the highest counts, of several texts of one id the
+least teaches. Without any usable label only the fixed list
+votes. Repeated rows are scored each; an empty table gives no rows. Other columns are passed on only if asked for; kept ones named
+score or predicted give way to the results.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidied
+from .common import own_columns, small_batches, tidied
 
-SAMPLE, MOST_TERMS, BEGINNINGS, MOST_TIMES, SURE = 12_000, 400, (3, 4, 5, 6), 3, 0.9
+SAMPLE, BEGINNINGS, MOST_TIMES, SURE = 12_000, (3, 4, 5, 6), 3, 0.9
 PRIOR = 3.0
 #: Common English insults.
 INSULTS = tuple("idiot stupid moron loser trash scum clown pathetic disgusting worthless imbecile cretin dumbass bastard bitch asshole retard degenerate vermin".split())
@@ -132,7 +137,7 @@ def choose(stats: list[tuple[str, int, int]], base: float) -> list[str]:
         if times and any(good[x][1] >= 0.5 * t for x in inside):
             continue
         kept.add(max([s, *(x for x in inside if good[x][1] >= 0.97 * t)], key=lambda x: (x[0] == "=", len(x))) if not times else s)
-    return sorted(kept, key=lambda s: (beyond_chance(*good[s], base), s))[:MOST_TERMS]
+    return sorted(kept, key=lambda s: (beyond_chance(*good[s], base), s))
 
 
 def label_model(votes: np.ndarray, base: float, prior: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,8 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     fixed = ["=" + w for w in INSULTS]
     usable = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~is_held_out(F.col("k")))
     usable = usable.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    # at most `sample` rows of an id and a label: a few hundred KB
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(usable), "k").select("k", "y", "t")
+    # at most `sample` rows of an id and a label: a few hundred KB; of rows of one id one teaches
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(usable), "k")
+    rows = rows.groupBy("k").agg(F.max("y").alias("y"), F.min("t").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, then score and predicted."""
     small_batches(docs.sparkSession)
+    keep = own_columns(keep, ("score", "predicted"))
     kept = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["score double", "predicted int"]
 
