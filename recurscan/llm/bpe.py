@@ -9,11 +9,12 @@ the border, and widens the window until what lies outside provably stays as it i
 * tokens of one long piece: a sequence of tokens is the encoding of its bytes if and only if each pair of neighbours is
   the encoding of its own bytes, so two checked pairs at the window's ends suffice.
 
-Decoding is one flat join of the
-tokens' bytes, not a tree.
+Texts of up to LEAF_CHARS characters and pieces of up to LEAF_BYTES bytes are leaves of the encoding tree. Decoding halves the
+tokens, down to LEAF_TOKENS, and concatenates the halves' bytes up the tree; concatenation needs no window.
 
-Nulls and empty texts have no tokens (the hashes are those of the empty string). Repeated rows give repeated results,
-an empty table an empty one; further columns are ignored unless asked for with ``keep``.
+Nulls and empty texts have no tokens (the hashes are those of the empty string); very long texts are read whole. Repeated rows give
+repeated results, an empty table an empty one; further columns are ignored unless asked for with ``keep``, and kept ones with the name of
+a result give way to it.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidied
+from .common import own_columns, small_batches, tidied
 
 LEAF_BYTES = 48
 LEAF_CHARS = 1 << 15
+LEAF_TOKENS = 1 << 10
 CACHE_PIECES = 800_000
 
 
@@ -144,11 +146,20 @@ class Codec:
         return " ".join(map(self.ids_text.__getitem__, self.pieces(text)))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return _up(ids, self.bytes_of, 0, len(ids))
 
     def decode_text(self, joined: str) -> bytes:
-        """Bytes of ids as encode_text() gives them; one flat join, no tree."""
-        return b"".join(map(self.text_bytes.__getitem__, joined.split(" "))) if joined else b""
+        """Bytes of ids as encode_text() gives them."""
+        ids = joined.split(" ") if joined else []
+        return _up(ids, self.text_bytes, 0, len(ids))
+
+
+def _up(ids: list, known: dict, lo: int, hi: int) -> bytes:
+    """Bytes of ids[lo:hi]: a leaf's, or those of both halves one after the other."""
+    if hi - lo <= LEAF_TOKENS:
+        return b"".join(map(known.__getitem__, ids[lo:hi]))
+    mid = (lo + hi) // 2
+    return _up(ids, known, lo, mid) + _up(ids, known, mid, hi)
 
 
 class _Pieces(dict):
@@ -176,6 +187,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """The kept columns, then n_tokens, ids (array<int>, if asked for), ids_sha256 and decoded_sha256 of each row's text."""
     small_batches(docs.sparkSession)
+    keep = own_columns(keep, ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
     kept = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_tokens bigint"] + ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"]
 

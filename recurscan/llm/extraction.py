@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, stash, tidied
+from .common import mix, small_batches, tidied, written
 
 REPEAT = 8
 GROUP = 256
@@ -335,7 +335,7 @@ def shared_runs(dealt: DataFrame, split: DataFrame) -> DataFrame | None:
     if size is None:
         return None
     ours = dealt.join(F.broadcast(split.select("host")), "host", "left_semi")
-    hosts = stash(ours.select("html", "host").mapInArrow(tidied(_asking), "host string").distinct(), "asking-hosts")
+    hosts = written(ours.select("html", "host").mapInArrow(tidied(_asking), "host string").distinct(), "asking-hosts")
     if hosts.isEmpty():
         return None
     rows = ours.join(F.broadcast(hosts), "host", "left_semi").select("id", "html", "host", "g")
@@ -351,7 +351,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     spark = pages.sparkSession
     rows = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    counts = stash(rows.groupBy("host").agg(F.count("*").alias("count"), F.sum(F.octet_length("html")).alias("bytes")), "hosts")
+    counts = written(rows.groupBy("host").agg(F.count("*").alias("count"), F.sum(F.octet_length("html")).alias("bytes")), "hosts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     large = [(r["host"], -(-r["count"] // group)) for r in counts.where(F.col("count") > max(2 * group, total / 100_000)).collect()]
     deal = F.broadcast(spark.createDataFrame(large, "host string, m int"))

@@ -6,7 +6,8 @@ values among the K smallest of two signatures' union estimates the Jaccard index
 
 A null text counts as empty; an empty text has the empty fingerprint, which is like another empty one (1.0) and like nothing
 else (0.0). Equal texts have equal fingerprints. Rows without an id come last in the order of documents, rows of one id
-in the order of their texts; an only row is its own next. Further columns are ignored.
+in the order of their texts; an only row is its own next. Very long texts are parsed whole. Further columns are ignored; kept ones
+named n_chars or fingerprint give way to the results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, tidied
+from .common import mix, own_columns, small_batches, tidied
 
 K = 64
 LOWEST = -(1 << 63)
@@ -98,6 +99,7 @@ def likeness(a: list[int], b: list[int], k: int = K) -> float:
 def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = K) -> DataFrame:
     """The kept columns, n_chars and the fingerprint of each row's text."""
     small_batches(docs.sparkSession)
+    keep = own_columns(keep, ("n_chars", "fingerprint"))
     kept = docs.select(*keep, F.coalesce(docs[text], F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_chars bigint", "fingerprint string"]
 

@@ -65,13 +65,28 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "\\### Assistant: </turn> ok"
 
 
+def event_log(rows: DataFrame) -> DataFrame:
+    """The log of a chat in which the rows (conv_id, turn, role, text, with turns from 1) come about: a user's turn is a draft that an
+    edit replaces; an assistant's begins, is overtaken by a turn that comes too early, is regenerated, which empties it and drops
+    that later turn, and is then streamed in three pieces."""
+    n, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(text) / 3).cast("int")
+    event = lambda i, kind, said, turn=n, role=F.col("role"): F.struct(turn.alias("turn"), (8 * n + i).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    typed = F.array(event(0, "message", F.lit("draft")), event(1, "edit", text))
+    streamed = F.array(
+        event(0, "message", F.lit("")), event(1, "delta", F.substr(text, F.lit(1), third)), event(2, "message", F.lit("too early"), n + 1, F.lit("user")), event(3, "regenerate", F.lit("")),
+        event(4, "delta", F.substr(text, F.lit(1), third)), event(5, "delta", F.substr(text, third + 1, third)), event(6, "delta", F.substr(text, 2 * third + 1)),
+    )
+    return rows.select("conv_id", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e")).select("conv_id", "e.*")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row is a turn of its own, also where two rows have one turn number."""
-    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    """Each row is a turn of its own, also where two rows have one turn number; a conversation's rows come about in an event log."""
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     rows = told.unionByName(more).repartition("conv_id")
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    events = rows.withColumn("seq", at).withColumn("turn", F.col("seq")).withColumn("kind", F.lit("message"))
+    events = event_log(rows.withColumn("turn", at))
     back = chat.read_back(chat.render(chat.reconstruct(events)))
     each = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -126,8 +141,8 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'
 ), said AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
-         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS t,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS l,
          sum(15 + length(role) + length(text) + length(regexp_replace(role, '[^\\\\#<\n]', '', 'g')) + length(regexp_replace(text, '[^\\\\#<]', '', 'g'))) AS n
   FROM turns GROUP BY conv_id
 )

@@ -53,3 +53,15 @@ def test_frame(spark, lib):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert bpe.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+    clash = bpe.encode(df, PATH, P.PATTERN, keep=("doc_id", "n_tokens", "text"))
+    assert clash.columns == ["doc_id", "text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and clash.where("n_tokens > 0").count() == 2
+
+
+def test_decoding_goes_up_the_tree(monkeypatch):
+    c = bpe.Codec(PATH, P.PATTERN)
+    text = "some words and é日本 " * 300
+    ids = c.encode(text)
+    for leaf in (1, 2, 7, 1024):
+        monkeypatch.setattr(bpe, "LEAF_TOKENS", leaf)
+        assert c.decode(ids) == c.decode_text(c.encode_text(text)) == text.encode()
+    assert c.decode([]) == c.decode_text("") == b""

@@ -53,3 +53,17 @@ def test_native(spark):
     df = spark.createDataFrame([(1, 1, 1, "message", "user", "x")], "conv_id long, turn long, seq long, kind string, role string, text string")
     plan = chat.read_back(chat.render(chat.reconstruct(df)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_folds_drafts_edits_and_regenerations(spark, sf_dir):
+    from recurscan.llm import queries
+
+    rows = spark.createDataFrame([(1, 1, "user", "ask"), (1, 2, "assistant", "an answer é🙂"), (1, 3, "assistant", ""), (2, 1, "assistant", "ab"), (3, 1, "", "x")], "conv_id long, turn long, role string, text string")
+    log = queries.event_log(rows)
+    assert {r.kind for r in log.collect()} == {"message", "edit", "delta", "regenerate"}
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(chat.render(chat.reconstruct(log))).collect()}
+    assert got == {1: [("user", "ask"), ("assistant", "an answer é🙂"), ("assistant", "")], 2: [("assistant", "ab")], 3: [("", "x")]}
+    events = [(r.conv_id, r.turn, r.seq, r.kind, r.role, r.text) for r in log.collect()]
+    assert got == brute(events)
+    plan = queries.op10_chat_format(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Pandas" not in plan and "EvalPython" not in plan
