@@ -1,87 +1,5 @@
-"""From raw documents to packed sequences: toxicity, language, near duplicates, repeated passages, packing.
+"""The pipeline from raw documents to packed sequences; its stages are in recurscan.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with the columns of documents; the last one gives
-pieces of sequences. A stage's result is written as Parquet and read again as the next one's docs.
-"""
+from recurscan.llm.pipeline import ORACLE_SQL, STAGES, oracle_sql, queries, run
 
-from __future__ import annotations
-
-import uuid
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from recurscan.llm import jaccard, langid, packing, substring, toxicity
-from recurscan.llm.common import discard, shared_dir, stash
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half; the model learns from the table labels."""
-    discard(spark)
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
-
-
-def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the column lang counts as declared and source as host."""
-    discard(spark)
-    model = langid.fit(docs)
-    marked = docs.select("doc_id", F.xxhash64("text").alias("__h"), "text", "lang", "source")
-    found = langid.identify(marked, model, declared="lang", host="source", keep=("doc_id", "__h"))
-    gone = stash(found.where("not kept").select(F.col("doc_id").alias("__i"), "__h").distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.xxhash64("text") == F.col("__h"))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
-    discard(spark)
-    groups = jaccard.join(docs.select("doc_id", "text"))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that documents with smaller ids have: the words kept, joined by one space. Documents
-    of which nothing stays go; n_chars follows the text."""
-    discard(spark)
-    kept = substring.remove_repeats(docs).where("n_words > n_removed or n_removed = 0")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, with sources in proportion."""
-    discard(spark)
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("language_id", keep_languages),
-    ("near_duplicates", drop_near_duplicates),
-    ("substring_dedup", drop_repeats),
-    ("packing", pack),
-]
-
-#: The toxicity and language models, and the tokenizer, have no SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; results between stages are in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/recurscan-pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def queries():
-    return {"pipeline": run}
-
-
-def oracle_sql():
-    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
+__all__ = ["ORACLE_SQL", "STAGES", "oracle_sql", "queries", "run"]
