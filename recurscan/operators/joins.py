@@ -11,13 +11,16 @@ from ..functions import features
 HOT, MOST_HOT = 4096, 1 << 20
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, spread: list[str], hot: int = HOT) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, spread: list[str], hot: int = HOT, total: int | None = None) -> DataFrame:
     """rows left-joined with a table that has one row per key. Keys that more than `hot` rows have (by the table's column `count`,
-    which is dropped) are few, so they are broadcast once their number is checked; the other keys meet in a shuffled join, in which
+    which is dropped) are few, so they are broadcast once their number is checked (total: the number of rows, where it is known;
+    it bounds that of hot keys); the other keys meet in a shuffled join, in which
     rows of hot keys and of null ones are dealt by the columns `spread`, so no task gets all rows of a key."""
     values = [c for c in table.columns if c not in (*on, count)]
+    if total is not None and total <= hot:
+        return rows.join(table.select(*on, *values), on, "left").select(*rows.columns, *values)
     many = table.where(F.col(count) > hot).select(*on, F.struct(*values).alias("__hot"))
-    few = many.limit(MOST_HOT + 1).count() <= MOST_HOT
+    few = total is not None and total // max(1, hot) <= MOST_HOT or many.limit(MOST_HOT + 1).count() <= MOST_HOT
     marked = rows.join(F.broadcast(many) if few else many, on, "left")
     done = F.col("__hot").isNotNull()
     for c in on:
