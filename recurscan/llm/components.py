@@ -31,10 +31,10 @@ def components(links: DataFrame) -> DataFrame:
             seen = (state["n"], state["h"])
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-            large = written(lookup(both.where("v > u"), least, ["u"], "c", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+            large = written(lookup(both.where("v > u"), least, ["u"], "c", ["v"], total=2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
             # every node has links to smaller ones only, so the minimum is taken over few
             least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-            joined = lookup(large, least, ["u"], "c", ["v"])
+            joined = lookup(large, least, ["u"], "c", ["v"], total=state["n"])
             small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
             edges = written(small, "links")
         found = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -338,7 +338,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
             reps = written(reps.select("k", "label", "r.*"), "reps")
             many = reps.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
             now = many.agg(F.sum("c")).first()[0] or 0
-            if not now or left is not None and now > 0.8 * left:
+            if not now or left is not None and now > left // 2:
                 break
             left = now
             again = F.pmod(F.xxhash64("id", "f1", F.lit(left)), F.ceil(F.col("c") / tile))
