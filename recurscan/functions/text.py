@@ -49,8 +49,9 @@ def lines_of(code: Column) -> Column:
     return F.split(code, "\n", -1)
 
 
-def norm_lines(lines: Column) -> Column:
-    return F.transform(lines, strip)
+def norm_code(code: Column) -> Column:
+    """The code with every line stripped."""
+    return F.array_join(F.transform(lines_of(code), strip), "\n")
 
 
 def line_slice(code: Column, first: Column | int, last: Column | int) -> Column:
