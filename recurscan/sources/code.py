@@ -16,6 +16,10 @@ _HEAD = re.compile(r"([A-Za-z_][\w:<>,*&\s]*?)\b([A-Za-z_~]\w*)\s*\([^;{}()]*(?:
 _CONTROL = frozenset("if for while switch catch return sizeof do else".split())
 
 
+#: Every spelling of a source file's suffix, so that others are not read at all.
+SOURCE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in text.SOURCE_SUFFIXES) + "}"
+
+
 def split_functions(code: str) -> list[dict]:
     """name, first and last line (from 1) and return type of each function with a body."""
     hidden = re.sub(r'/\*[\s\S]*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', lambda m: re.sub(r"[^\n]", " ", m[0]), code)
@@ -48,7 +52,7 @@ def read_text_files(spark: SparkSession, path: str, glob: str | None = None) ->
 
 def read_project(spark: SparkSession, path: str, skip_loc_threshold: bool = False, splitter=split_functions) -> DataFrame:
     """Purified target functions of a source tree: func_id, func_name, path, line, code. Overloads are kept apart by their line."""
-    files = read_text_files(spark, path).where(text.is_source_file(F.col("path")))
+    files = read_text_files(spark, path, SOURCE_GLOB).where(text.is_source_file(F.col("path")))
     find = F.pandas_udf(lambda s: s.map(lambda c: [] if c is None else splitter(c)), _FUNCTION)
     each = files.select("path", "code", F.explode(find("code")).alias("f")).where("f.end is not null")
     body = text.line_slice(F.col("code"), F.col("f.line"), F.col("f.end"))
@@ -95,6 +99,8 @@ def normal_sample(functions: DataFrame, size: int, seed: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
+    """A table of the driver's. One that a scan would read in fewer tasks than the cluster runs at once, as a small file of one row
+    group, is dealt out first; filters and columns are still pushed into the scan."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows

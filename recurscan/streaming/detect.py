@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
 from ..plans.detect import Index, detect
+from ..scratch import tables
 
 
 def read_targets(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -22,8 +23,9 @@ def detect_stream(spark: SparkSession, targets: DataFrame, index: Index, out: st
     """Writes each batch's records and trace rows below `out`, by batch; a batch that runs again overwrites its own."""
 
     def run(batch: DataFrame, number: int) -> None:
-        found = detect(spark, batch.where("code <> ''"), index, c, embedder)
-        found.records.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
-        found.trace.write.mode("overwrite").parquet(f"{out}/trace/batch={number}")
+        with tables(spark):  # nothing of a batch's steps is left behind
+            found = detect(spark, batch.where("code <> ''"), index, c, embedder)
+            found.records.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+            found.trace.write.mode("overwrite").parquet(f"{out}/trace/batch={number}")
 
     return targets.dropDuplicates(["id"]).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

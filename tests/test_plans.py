@@ -1,8 +1,13 @@
 import json
 import os
+import shutil
+import subprocess
+import sys
 
+import pytest
 from pyspark.sql import functions as F
-from recurscan.plans.detect import build_index, detect
+from recurscan.config import Config
+from recurscan.plans.detect import build_index, code_flows, detect
 from recurscan.sources import code, sinks
 from recurscan.streaming.detect import detect_stream, read_targets
 
@@ -84,6 +89,34 @@ def test_detection(spark, tmp_path):
     assert none.records.count() == 0 and tuple(none.totals.first()) == (0, 0, 0)
 
 
+def test_command_line_and_saved_index(spark, tmp_path):
+    from recurscan.__main__ import arguments, run
+
+    make_corpus(str(tmp_path))
+    base = str(tmp_path)
+    args = ["--index", f"{base}/index", "--out", f"{base}/result", "--restore-processed", f"{base}/functions", "--config", f"{base}/config.yml"]
+    with pytest.raises(SystemExit):
+        run(spark, arguments([f"{base}/project", *args]))
+    run(spark, arguments([f"{base}/project", "--corpus", f"{base}/corpus", *args]))
+    assert Config.from_yaml(open(f"{base}/config.yml").read()) == Config()
+    first = spark.read.json(f"{base}/result/vul").collect()
+    assert spark.read.json(f"{base}/result/summary").first()["cnt"] == 1 and {r.stage for r in spark.read.json(f"{base}/result/info").where("rate > 0").collect()} == {"bloom", "token", "syntax", "trace"}
+    shutil.rmtree(f"{base}/corpus")
+    shutil.rmtree(f"{base}/project")
+    code_ = "import sys; from recurscan.__main__ import *; run(SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', 4).config('spark.ui.enabled', 'false').getOrCreate(), arguments())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code_, f"{base}/project", *args], check=True, env=os.environ | {"PYTHONPATH": root}, timeout=300)  # another session
+    again = spark.read.json(f"{base}/result/vul").collect()
+    assert [(r.id, r.dst, r.sim) for r in again] == [(r.id, r.dst, r.sim) for r in first]
+
+
+def test_flows_through_a_line_map(spark):
+    rows = spark.createDataFrame([("f", "a = 1;\nb =\n a;\ng(b);")], "id string, code string")
+    lines = spark.createDataFrame([("f", 1, "ONE"), ("f", 2, "TWO")], "func_id string, line int, code string")
+    assert {tuple(r.flow) for r in code_flows(rows, "id", "code", line_map=lines).collect()} == {("ONE", "TWO"), ("TWO", "TWO")}
+    assert {tuple(r.flow) for r in code_flows(rows, "id", "code").collect()} == {("a = 1;", " a;"), ("b =", "g(b);")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     make_corpus(str(tmp_path))
     targets, corpus = load(spark, tmp_path)
