@@ -79,17 +79,9 @@ raw_lines AS (
 DOC_TOKENS = tokens_sql("documents", "doc_id", "text")
 PAIRS = f"""{DOC_TOKENS}, bags AS (
   SELECT id, len(tokens) AS n, t AS token, count(*) AS cnt FROM (SELECT id, tokens, unnest(tokens) AS t FROM toks) GROUP BY ALL
-), elements AS (
-  SELECT id, n, token, unnest(range(1, cnt + 1)) AS k FROM bags
-), rare AS (
-  SELECT token, k, count(*) AS df FROM elements GROUP BY ALL
-), heads AS (
-  SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY df, token, e.k) AS r FROM elements e JOIN rare USING (token, k)) WHERE r <= n - ceil(0.7 * n) + 1
-), candidates AS (
-  SELECT DISTINCT a.id AS dst_id, b.id AS vuln_id FROM heads a JOIN heads b ON a.token = b.token AND a.k = b.k AND a.id <> b.id
 ), sims AS (
-  SELECT dst_id, vuln_id, a.n AS n_dst, b.n AS n_vuln, sum(least(a.cnt, b.cnt)) AS inter
-  FROM candidates JOIN bags a ON a.id = dst_id JOIN bags b ON b.id = vuln_id AND a.token = b.token GROUP BY ALL
+  SELECT a.id AS dst_id, b.id AS vuln_id, a.n AS n_dst, b.n AS n_vuln, sum(least(a.cnt, b.cnt)) AS inter
+  FROM bags a JOIN bags b ON a.token = b.token AND a.id <> b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n GROUP BY ALL
 ), pairs AS (
   SELECT dst_id, vuln_id, n_dst, n_vuln, CAST(inter AS BIGINT) AS inter, inter / (n_dst + n_vuln - inter) AS sim FROM sims WHERE inter / (n_dst + n_vuln - inter) >= 0.7
 )"""
@@ -166,16 +158,8 @@ def cfg_labels(spark, sf_dir):
     return p.select("p_partkey", text.parse_label(label).alias("l")).select("p_partkey", "l.*")
 
 
-@query("SELECT a.item_id AS old_id, CAST(levenshtein(left(regexp_replace(a.text, '[^\\x00-\\x7F]+', '', 'g'), 200), left(regexp_replace(b.text, '[^\\x00-\\x7F]+', '', 'g'), 200)) AS INT) AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+@query("SELECT a.item_id AS old_id, CAST(levenshtein(regexp_replace(a.text, '[^\\x00-\\x7F]+', '', 'g'), regexp_replace(b.text, '[^\\x00-\\x7F]+', '', 'g')) AS INT) AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def edit_distance(spark, sf_dir):
-    a, b = (table(spark, sf_dir, "benchmark").alias(x) for x in "ab")
-    both = a.join(b, F.col("b.item_id") == F.col("a.item_id") + 1)
-    return both.select(F.col("a.item_id").alias("old_id"), strings.levenshtein_distance(*(F.substr(text.ascii_only(F.col(c)), F.lit(1), F.lit(200)) for c in ("a.text", "b.text"))).alias("distance"))
-
-
-@query()
-def edit_distance_whole(spark, sf_dir):
-    """edit_distance compares the first 200 characters, as its SQL does; this is the distance of whole texts."""
     a, b = (table(spark, sf_dir, "benchmark").alias(x) for x in "ab")
     both = a.join(b, F.col("b.item_id") == F.col("a.item_id") + 1)
     return both.select(F.col("a.item_id").alias("old_id"), strings.levenshtein_distance(*(text.ascii_only(F.col(c)) for c in ("a.text", "b.text"))).alias("distance"))
@@ -357,23 +341,23 @@ def statements_of(c: str):
 _GATES = f"""WITH {PAIRS}, {_LINES}, versions AS (
   SELECT doc_id AS vuln_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS patch_id, source AS cve FROM documents
 ), cands AS (
-  SELECT dst_id, vuln_id, patch_id, cve, sim AS sv FROM pairs JOIN versions USING (vuln_id) WHERE patch_id IS NOT NULL
+  SELECT dst_id, vuln_id, patch_id, cve FROM pairs JOIN versions USING (vuln_id) WHERE patch_id IS NOT NULL
 ), changed AS (
   SELECT vuln_id, patch_id, v.line_hash, coalesce(v.cnt, 0) AS v, coalesce(p.cnt, 0) AS p FROM versions
   JOIN lines v ON v.id = vuln_id LEFT JOIN lines p ON p.id = patch_id AND p.line_hash = v.line_hash WHERE v.cnt <> coalesce(p.cnt, 0)
   UNION SELECT vuln_id, patch_id, p.line_hash, 0, p.cnt FROM versions JOIN lines p ON p.id = patch_id LEFT JOIN lines v ON v.id = vuln_id AND v.line_hash = p.line_hash WHERE v.cnt IS NULL
 ), gates AS (
-  SELECT c.dst_id, c.vuln_id, c.patch_id, c.cve, c.sv, coalesce(bool_and(coalesce(d.cnt, 0) = h.v) FILTER (h.v > h.p), true) AS passes_del, coalesce(bool_and(coalesce(d.cnt, 0) = h.v) FILTER (h.v < h.p), true) AS passes_add
+  SELECT c.dst_id, c.vuln_id, c.patch_id, c.cve, coalesce(bool_and(coalesce(d.cnt, 0) = h.v) FILTER (h.v > h.p), true) AS passes_del, coalesce(bool_and(coalesce(d.cnt, 0) = h.v) FILTER (h.v < h.p), true) AS passes_add
   FROM cands c LEFT JOIN changed h ON h.vuln_id = c.vuln_id AND h.patch_id = c.patch_id LEFT JOIN lines d ON d.id = c.dst_id AND d.line_hash = h.line_hash GROUP BY ALL
 )"""
 
 
-def gated(spark, sf_dir):
-    """Candidates with a patched version (the next document of the source), and their gates."""
+def gated(spark, sf_dir, sims):
+    """Of the pairs sims those with a patched version (the next document of the source), and their gates."""
     v = documents(spark, sf_dir).select(F.col("doc_id").alias("vuln_id"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("patch_id"), F.col("source").alias("cve"))
     v = v.where("patch_id is not null")
-    candidates = similar(spark, sf_dir).select("dst_id", "vuln_id", F.col("sim").alias("sv")).join(v, "vuln_id")
-    lines = document_lines(spark, sf_dir)
+    candidates = sims.select("dst_id", "vuln_id").join(v, "vuln_id")
+    lines = written(document_lines(spark, sf_dir), "lines")
     a = v.join(lines.select(F.col("id").alias("vuln_id"), "line_hash", F.col("cnt").alias("v")), "vuln_id")
     b = v.join(lines.select(F.col("id").alias("patch_id"), "line_hash", F.col("cnt").alias("p")), "patch_id")
     both = a.join(b, ["vuln_id", "patch_id", "cve", "line_hash"], "full").select("vuln_id", "line_hash", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("p", F.lit(0)).alias("p"))
@@ -383,23 +367,36 @@ def gated(spark, sf_dir):
 
 @query(_GATES + " SELECT dst_id, vuln_id, patch_id, passes_del, passes_add FROM gates")
 def line_gates(spark, sf_dir):
-    return gated(spark, sf_dir).select("dst_id", "vuln_id", "patch_id", "passes_del", "passes_add")
+    return gated(spark, sf_dir, similar(spark, sf_dir)).select("dst_id", "vuln_id", "patch_id", "passes_del", "passes_add")
 
 
-_ROUTED = _GATES + """, judged AS (
+def _bag_sql(name: str, side: str) -> str:
+    """Similarity of the target's bag of lines with that of another function."""
+    return f"""{name} AS (
+  SELECT dst_id, {side}, least / (total - least) AS s FROM (
+    SELECT k.dst_id, k.{side}, (SELECT sum(cnt) FROM lines WHERE id = k.dst_id) + (SELECT sum(cnt) FROM lines WHERE id = k.{side}) AS total,
+      coalesce((SELECT sum(least(a.cnt, b.cnt)) FROM lines a JOIN lines b ON b.id = k.{side} AND b.line_hash = a.line_hash WHERE a.id = k.dst_id), 0) AS least
+    FROM (SELECT DISTINCT dst_id, {side} FROM gates) k)
+)"""
+
+
+_ROUTED = _GATES + f""", {_bag_sql("svs", "vuln_id")}, {_bag_sql("sps", "patch_id")}, judged AS (
   SELECT *, CASE WHEN sv < 0.7 THEN 'reject' WHEN sv < sp AND sp - sv > 0.15 THEN 'near' WHEN sv < sp THEN 'reject' ELSE 'accept' END AS gate
-  FROM (SELECT g.*, coalesce(p.sim, 0) AS sp FROM gates g LEFT JOIN pairs p ON p.dst_id = g.dst_id AND p.vuln_id = g.patch_id)
+  FROM (SELECT g.*, v.s AS sv, p.s AS sp FROM gates g JOIN svs v ON v.dst_id = g.dst_id AND v.vuln_id = g.vuln_id JOIN sps p ON p.dst_id = g.dst_id AND p.patch_id = g.patch_id)
 ), routed AS (
   SELECT *, CASE WHEN n > 1 AND sv > 0.9 AND gate <> 'near' THEN 'direct' ELSE 'trace' END AS route
   FROM (SELECT *, count(*) OVER (PARTITION BY dst_id) AS n, row_number() OVER (PARTITION BY dst_id, cve ORDER BY sv DESC, vuln_id) AS r FROM judged WHERE gate <> 'reject') WHERE r = 1
 )"""
 
 
-def routed(spark, sf_dir):
-    """Candidates that pass the tree gate, with routes; line gates are reported, not applied, as these tables hold no patches."""
-    sims = similar(spark, sf_dir)
-    g = gated(spark, sf_dir).join(sims.select("dst_id", F.col("vuln_id").alias("patch_id"), F.col("sim").alias("sp")), ["dst_id", "patch_id"], "left").withColumn("sp", F.coalesce("sp", F.lit(0.0)))
-    judged = g.withColumn("gate", syntax.tree_gate(F.col("sv"), F.col("sp"), Config()))
+def routed(spark, sf_dir, sims=None):
+    """Candidates that pass the tree gate, with routes. A function's bag of lines stands for that of its tree's constructs, as SQL has no
+    parser (detect_* use trees). Line gates are reported, not applied, as these tables hold no patches."""
+    g = written(gated(spark, sf_dir, similar(spark, sf_dir) if sims is None else sims), "gates")
+    lines = document_lines(spark, sf_dir)
+    bags = written(lines.select("id", F.col("line_hash").alias("token"), "cnt"), "line-bags")
+    scored = joins.bag_jaccard(joins.bag_jaccard(g, bags, bags, ("dst_id", "vuln_id"), "sv"), bags, bags, ("dst_id", "patch_id"), "sp")
+    judged = written(scored.withColumn("gate", syntax.tree_gate(F.col("sv"), F.col("sp"), Config())), "judged")
     return syntax.route(judged.where("gate <> 'reject'").withColumn("near", F.col("gate") == "near"))
 
 
@@ -436,8 +433,9 @@ def merge_by_dst(spark, sf_dir):
   UNION ALL SELECT 'syntax', dst_id IN (SELECT dst_id FROM routed) FROM (SELECT DISTINCT dst_id FROM pairs)
 ) SELECT stage, count(*) AS input, count_if(passed)::BIGINT AS passed, round(100 * (1 - count_if(passed) / count(*)), 1) AS filtered FROM events GROUP BY stage""")
 def stage_counters(spark, sf_dir):
-    hit = similar(spark, sf_dir).select("dst_id").distinct()
-    last = routed(spark, sf_dir).select("dst_id").distinct().withColumn("p", F.lit(True))
+    sims = written(similar(spark, sf_dir), "similar")
+    hit = sims.select("dst_id").distinct()
+    last = routed(spark, sf_dir, sims).select("dst_id").distinct().withColumn("p", F.lit(True))
     one = documents(spark, sf_dir).select(F.col("doc_id").alias("dst_id")).join(hit.withColumn("p", F.lit(True)), "dst_id", "left").select(F.lit("token").alias("stage"), F.coalesce("p", F.lit(False)).alias("passed"))
     two = hit.join(last, "dst_id", "left").select(F.lit("syntax").alias("stage"), F.coalesce("p", F.lit(False)).alias("passed"))
     return results.stage_counters(one.unionByName(two))
@@ -527,11 +525,16 @@ def cosine_mean_max(spark, sf_dir):
     return label_sims(spark, sf_dir).select("code", "diff", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {_SIMS} SELECT a.code, a.diff AS vuln, b.diff AS patch, a.sim >= b.sim AND a.sim <> 0 AND b.sim <> 0 AS predict FROM sims a JOIN sims b ON a.code = b.code AND a.diff <> b.diff")
+@query(f"""WITH {_SIMS}, evidence AS (
+  SELECT code, diff, CASE WHEN (code + diff) % 5 = 0 THEN NULL WHEN (code + diff) % 7 = 0 THEN 0 ELSE sim END AS sim FROM sims
+) SELECT a.code, a.diff AS vuln, b.diff AS patch, a.code % 4 = 0 OR a.diff % 6 = 0 OR (coalesce(a.sim, 1) <> 0 AND coalesce(b.sim, 1) <> 0 AND coalesce(a.sim >= b.sim, true)) AS predict
+FROM evidence a JOIN evidence b ON a.code = b.code AND a.diff <> b.diff""")
 def trace_gate(spark, sf_dir):
-    s = label_sims(spark, sf_dir)
+    """Some similarities count as unknown, some as zero, and some functions as without flows or differences."""
+    at = F.col("code") + F.col("diff")
+    s = written(label_sims(spark, sf_dir), "label-sims").withColumn("sim", F.when(at % 5 == 0, None).when(at % 7 == 0, 0.0).otherwise(F.col("sim")))
     both = s.select("code", F.col("diff").alias("vuln"), F.col("sim").alias("sv")).join(s.select("code", F.col("diff").alias("patch"), F.col("sim").alias("sp")), "code").where("vuln <> patch")
-    return both.select("code", "vuln", "patch", flows.trace_gate(F.col("sv"), F.col("sp"), F.lit(True), F.lit(True)).alias("predict"))
+    return both.select("code", "vuln", "patch", flows.trace_gate(F.col("sv"), F.col("sp"), F.col("vuln") % 6 != 0, F.col("code") % 4 != 0).alias("predict"))
 
 
 @query("""WITH RECURSIVE edges AS (SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b ON b.n_nationkey IN (2 * a.n_nationkey + 1, 2 * a.n_nationkey + 2, 3 * a.n_nationkey + 2)),
@@ -553,11 +556,11 @@ def recall_threshold(spark, sf_dir):
     return results.required_threshold(info, 0.5).join(info.select("threshold", "recall"), "threshold")
 
 
-@query("SELECT vec_id, label, round(embedding[1], 6) AS x0, CAST(len(embedding) AS INT) AS n FROM embeddings")
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 4) AS weighed, CAST(len(embedding) AS INT) AS n FROM embeddings")
 def json_round_trip(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     coded = e.select("vec_id", "label", F.to_json(F.struct("embedding")).alias("j"))
-    return coded.select("vec_id", "label", F.from_json("j", "embedding array<float>")["embedding"].alias("v")).select("vec_id", "label", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.size("v").alias("n"))
+    return coded.select("vec_id", "label", F.from_json("j", "embedding array<float>")["embedding"].alias("v")).select("vec_id", "label", F.round(F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("weighed"), F.size("v").alias("n"))
 
 
 @query()
@@ -566,9 +569,14 @@ def syntax_trees(spark, sf_dir):
     return d.select("doc_id", F.size(trees.ast_nodes()("text")).alias("n_nodes"), F.size(trees.ast_edges()("text")).alias("n_edges"), trees.ast_hash()("text").alias("tree_sha256"), F.sha2(trees.abstracted(F.col("text")), 256).alias("abstract_sha256"))
 
 
-@query()
+@query("""WITH RECURSIVE li AS (SELECT l_orderkey AS f, CAST(l_partkey AS VARCHAR) AS node, CAST(ceil(l_linenumber / 3) AS BIGINT) AS line, l_shipdate FROM lineitem), nodes AS (SELECT f, node, min(line) AS line FROM li GROUP BY ALL),
+edges AS (SELECT DISTINCT f, node AS src, dst FROM (SELECT f, node, lead(node) OVER (PARTITION BY f ORDER BY l_shipdate, node) AS dst FROM li) WHERE dst <> node),
+same AS (SELECT e.* FROM edges e JOIN nodes a ON a.f = e.f AND a.node = src JOIN nodes b ON b.f = e.f AND b.node = dst WHERE a.line = b.line),
+reach AS (SELECT f, node, node AS other FROM nodes UNION SELECT r.f, r.node, CASE WHEN s.src = r.other THEN s.dst ELSE s.src END FROM reach r JOIN same s ON s.f = r.f AND r.other IN (s.src, s.dst)),
+rep AS (SELECT r.f, r.node, coalesce(max(r.other) FILTER (s.src IS NULL), max(r.other)) AS rep FROM reach r LEFT JOIN (SELECT DISTINCT f, src FROM same) s ON s.f = r.f AND s.src = r.other GROUP BY ALL)
+SELECT DISTINCT e.f AS func_id, a.rep AS src, b.rep AS dst FROM edges e JOIN rep a ON a.f = e.f AND a.node = e.src JOIN rep b ON b.f = e.f AND b.node = e.dst WHERE a.rep <> b.rep""")
 def contracted_graphs(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("func_id"), F.col("l_partkey").cast("string").alias("node_id"), F.col("l_linenumber").alias("line"), "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("func_id"), F.col("l_partkey").cast("string").alias("node_id"), F.ceil(F.col("l_linenumber") / 3).alias("line"), "l_shipdate")
     nodes = li.groupBy("func_id", "node_id").agg(F.min("line").alias("line"))
     after = F.lead("node_id").over(Window.partitionBy("func_id").orderBy("l_shipdate", "node_id"))
     edges = li.withColumn("dst", after).where("dst is not null and dst <> node_id").select("func_id", F.col("node_id").alias("src"), "dst").distinct()
