@@ -112,17 +112,19 @@ def _class_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
 def bag_jaccard(pairs: DataFrame, left: DataFrame, right: DataFrame, by: tuple[str, str], name: str) -> DataFrame:
     """pairs with the similarity `name` of two bags (id, n, token, cnt), 0 for two empty ones; no pair is lost. A bag is one
-    function's, so it is gathered as a map."""
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    as_map = lambda bags, key, column: bags.groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("token", "cnt"))).alias(column))
-    both = pairs.join(as_map(left, by[0], "__a"), by[0], "left").join(as_map(right, by[1], "__b"), by[1], "left")
-    both = both.withColumn("__a", F.coalesce("__a", none)).withColumn("__b", F.coalesce("__b", none))
+    function's, so it is gathered in a row, if the function is in a pair. Sorted together, a token that both bags have stands
+    beside itself, so one pass adds up the smaller counts."""
+    asked = lambda bags, key: bags.join(pairs.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
+    gathered = lambda bags, key, column: asked(bags, key).groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("token", "cnt")).alias(column), F.sum("cnt").alias(column + "n"))
+    both = pairs.join(gathered(left, by[0], "__a"), by[0], "left").join(gathered(right, by[1], "__b"), by[1], "left")
+    token, none = left.schema["token"].dataType.simpleString(), F.array()
+    entries = F.concat(*[F.coalesce(c, none.cast(f"array<struct<token:{token},cnt:bigint>>")) for c in ("__a", "__b")])
+    state = lambda t, cnt, n: F.struct(t.alias("token"), cnt.alias("cnt"), n.alias("n"))
+    step = lambda s, x: state(x["token"], x["cnt"], s["n"] + F.when(s["token"] == x["token"], F.least(s["cnt"], x["cnt"])).otherwise(0))
     zero = F.lit(0).cast("long")
-    total = lambda m: F.aggregate(F.map_values(m), zero, lambda s, x: s + x)
-    shared = F.filter(F.map_keys("__a"), lambda t: F.map_contains_key(F.col("__b"), t))
-    least = F.aggregate(shared, zero, lambda s, t: s + F.least(F.element_at("__a", t), F.element_at("__b", t)))
-    scored = both.withColumn("__n", least).withColumn("__m", total(F.col("__a")) + total(F.col("__b")) - F.col("__n"))
-    return scored.withColumn(name, F.coalesce(F.try_divide("__n", "__m"), F.lit(0.0))).drop("__a", "__b", "__n", "__m")
+    least = F.aggregate(F.array_sort(entries), state(F.lit(None).cast(token), zero, zero), step, lambda s: s["n"])
+    scored = both.withColumn("__n", least).withColumn("__m", F.coalesce("__an", zero) + F.coalesce("__bn", zero) - F.col("__n"))
+    return scored.withColumn(name, F.coalesce(F.try_divide("__n", "__m"), F.lit(0.0))).drop("__a", "__b", "__an", "__bn", "__n", "__m")
 
 
 def backward_asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: Column, name: str) -> DataFrame:
