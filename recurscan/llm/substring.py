@@ -10,7 +10,8 @@ A window is 50 consecutive words. Each word covered by a window that also starts
 
 Before each shuffle by hash, a slice of a task's texts is combined: what the slice itself decides (an anchor that it shares,
 a window that it also has under a smaller id) goes on as decided, under a spread key, and one row per hash and slice asks
-or tells the others. So a passage in a third of all documents sends a row per slice, not per document. A hash that a document has
+or tells the others. A task remembers which hashes its earlier slices decided and neither asks nor tells about them again. So a passage
+in a third of all documents sends a few rows per task, not a row per document. A hash that a document has
 many times goes on once for the document, marked as MANY, and is found again in the text by the next step: so a document of
 one word over and over is one row.
 
@@ -34,6 +35,7 @@ from .common import mix, small_batches, tables, tidied, written
 SIZE, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 ASK, DECIDED, TELL = 0, 1, 2
 MANY = 8
+KNOWN = 1 << 16
 _IN = np.zeros(PERIOD, bool)
 _IN[list(COVER)] = True
 
@@ -76,10 +78,41 @@ def _runs(order_keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+class Known:
+    """Hashes that earlier slices of a task found in several documents, and the smallest id of each. Holds `most`, those that come
+    again rather than others; one that is forgotten is asked about again, so what is held decides nothing."""
+
+    def __init__(self, most: int = KNOWN):
+        self.most = most
+        self.h, self.g, self.low, self.times = (np.zeros(0, t) for t in (np.uint64, np.int32, np.int64, np.int64))
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is held, and whether it is."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return at, (self.h[at] == h) & (self.g[at] == g)
+
+    def learn(self, h: np.ndarray, g: np.ndarray, low: np.ndarray) -> None:
+        """Takes distinct hashes of a slice."""
+        at, old = self.find(h, g)
+        self.low[at[old]] = np.minimum(self.low[at[old]], low[old])
+        self.times[at[old]] += 1
+        worth = np.concatenate((2 * self.times, np.full((~old).sum(), 3)))  # a new one is worth more than one that never came again
+        held = [np.concatenate((a, b)) for a, b in ((self.h, h[~old]), (self.g, g[~old]), (self.low, low[~old]), (self.times, np.ones((~old).sum(), np.int64)))]
+        if len(worth) > self.most:
+            best = np.argpartition(worth, len(worth) - self.most)[len(worth) - self.most :]
+            held = [x[best] for x in held]
+            held[3] = (held[3] + 1) // 2
+        order = np.argsort(held[0], kind="stable")
+        self.h, self.g, self.low, self.times = (x[order] for x in held)
+
+
 def _anchors(size: int):
     length = size - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             for part in words.slices(batch, 1):
                 w = words.split(part.column(1))
@@ -98,12 +131,15 @@ def _anchors(size: int):
                 ids, mark = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)[doc], _marks(w)[doc]
                 order, lead = _runs((h,))
                 low, high = np.minimum.reduceat(ids[order], lead), np.maximum.reduceat(ids[order], lead)
-                both = np.empty(len(h), bool)
-                both[order] = np.repeat(low != high, np.diff(np.append(lead, len(h))))
-                tell = low != high
-                key = np.concatenate((np.where(both, _spread(ids, pos), h), h[order][lead][tell]))
-                v = np.concatenate((_pack(pos, mark, np.where(both, DECIDED, ASK) | many), np.full(tell.sum(), TELL)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate((ids, low[tell]))), pa.array(v)], ["h", "id", "v"])
+                each, both, none = h[order][lead], np.empty(len(h), bool), np.zeros(len(lead), np.int32)
+                seen = known.find(each, none)[1]
+                shared = seen | (low != high)
+                both[order] = np.repeat(shared, np.diff(np.append(lead, len(h))))
+                known.learn(each[shared], none[shared], low[shared])
+                tell = shared & ~seen  # both ids, as further rows of one of them may be elsewhere
+                key = np.concatenate((np.where(both, _spread(ids, pos), h), each[tell], each[tell]))
+                v = np.concatenate((_pack(pos, mark, np.where(both, DECIDED, ASK) | many), np.full(2 * tell.sum(), TELL)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate((ids, low[tell], high[tell]))), pa.array(v)], ["h", "id", "v"])
 
     return run
 
@@ -112,6 +148,7 @@ def _windows(size: int):
     length = size - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             for part in words.slices(batch, 1):
                 w = words.split(part.column(1))
@@ -145,8 +182,13 @@ def _windows(size: int):
                 at, doc, h, g = at[first], doc[first], h[first], g[first]
                 pos, ids, mark = at - w.first[doc], np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)[doc], marks[doc]
                 order, lead = _runs((g, h))
+                each, of = h[order][lead], g[order][lead]
+                least, most = np.minimum.reduceat(ids[order], lead), np.maximum.reduceat(ids[order], lead)
+                place, seen = known.find(each, of)
+                least[seen] = np.minimum(least[seen], known.low[place[seen]])
+                known.learn(each[most > least], of[most > least], least[most > least])
                 low = np.empty(len(h), np.int64)
-                low[order] = np.repeat(np.minimum.reduceat(ids[order], lead), np.diff(np.append(lead, len(h))))
+                low[order] = np.repeat(least, np.diff(np.append(lead, len(h))))
                 more = ids > low
                 key = np.where(more, _spread(ids, pos), h)
                 v = _pack(pos, mark, np.where(more, DECIDED, ASK) | many)

@@ -53,6 +53,47 @@ def test_equals_brute_force(spark, seed):
     assert any(r[3] for r in got)
 
 
+@pytest.mark.parametrize("rows_a_slice", ["1", "7"])
+def test_slices_of_one_task(spark, rows_a_slice):
+    rows = corpus(4)
+    random.Random(4).shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows_a_slice)
+    try:
+        out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        got = sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in out.collect()), key=str)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert got == brute(rows, 50)
+
+
+def test_rows_of_one_id_in_other_slices():
+    # of 9 one row shares only an anchor with 12, the other one, in another task, a whole window
+    import pyarrow as pa
+
+    passage = ["p%d" % i for i in range(60)]
+    near = " ".join(passage[:30] + ["x%d" % i for i in range(40)])
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+    sent = [r for task in (batch((9, near), (12, " ".join(passage))), batch((9, " ".join(passage)))) for b in substring._anchors(50)([task]) for r in b.to_pylist()]
+    asked = {r["h"] for r in sent if r["v"] & 7 == substring.ASK and r["id"] == 9}
+    told = {(r["h"], r["id"]) for r in sent if r["v"] & 7 == substring.TELL}
+    assert any((h, 12) in told for h in asked)
+
+
+def test_known_hashes():
+    import numpy as np
+
+    known = substring.Known(4)
+    names = lambda *x: (np.array(x, np.uint64), np.zeros(len(x), np.int32))
+    for start in range(10, 30, 3):
+        known.learn(*names(5, start, start + 1, start + 2), np.array([start, 1, 2, 3]))
+    assert len(known.h) == 4 and (known.h == np.sort(known.h)).all()
+    at, held = known.find(*names(5, 28, 10))
+    assert held.tolist() == [True, True, False] and known.low[at[0]] == 10
+    assert not known.find(np.array([5], np.uint64), np.ones(1, np.int32))[1].any()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.remove_repeats(df).count() == 0
