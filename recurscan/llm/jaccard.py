@@ -45,6 +45,7 @@ ROWS, BANDS = 3, 42
 TILE = 1024
 BAND = 4  # a size band spans sizes of a factor of 2 ** BAND
 SURE = 1.08
+ASKED = 1 << 24  # bits of the filter of texts that pairs name
 _BY = mix(np.arange(1000, 1000 + ROWS * BANDS, dtype=np.uint64)) | np.uint64(1)
 _JOIN = mix(np.arange(5000, 5000 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -221,10 +222,22 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _maybe(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """All texts whose ids are among the ends, and a few others: a Bloom filter with one hash, broadcast as bitmaps of 2 MB in all.
+    So texts that no pair names need no shuffle; with more ends than its bits more texts pass, and none is lost."""
+    h = F.pmod(F.xxhash64("id"), F.lit(ASKED))
+    bucket, bit = F.shiftright(h, 15).alias("__k"), h.bitwiseAND(F.lit(0x7FFF))
+    maps = ends.select(bucket, bit.alias("at")).repartition("__k").groupBy("__k").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    byte = F.conv(F.hex(F.substr("__bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    asked = texts.withColumn("__k", bucket).join(F.broadcast(maps), "__k")
+    return asked.where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*texts.columns)
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose similarity reaches the threshold, on whole sets."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(ends, "id", "left_semi").mapInArrow(tidied(_sets), "id bigint, s binary")
+    """Those of the pairs (a, b), which are a table, whose similarity reaches the threshold, on whole sets."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    # an inner join, as a semi-join would be moved below the filter
+    sets = _maybe(texts, ends).join(ends.distinct(), "id").select("id", "text").mapInArrow(tidied(_sets), "id bigint, s binary")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     both = first.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t")
     return both.mapInArrow(tidied(_exact), "a bigint, b bigint").distinct()
@@ -326,7 +339,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
         x = F.pmod(F.xxhash64("id", "f1"), F.ceil(F.col("c") / tile))
         one = cold.select("k", *at(0, 0), "id", "f1", F.col("id").alias("label")).unionByName(hot.select("k", *at(x, x), "id", "f1", F.col("id").alias("label")))
         one = written(named(one, True), "forest")
-        pairs = one.where("a is not null").select("a", "b").distinct()
+        pairs = written(one.where("a is not null").select("a", "b").distinct(), "pairs")
         found = written(_linked(pairs, texts), "links")
         comp = components(found)
         labelled = lambda rows: rows.join(comp.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -343,7 +356,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = T
             left = now
             again = F.pmod(F.xxhash64("id", "f1", F.lit(left)), F.ceil(F.col("c") / tile))
             rows = reps.join(many, "k").select("k", *at(again, again), "id", "f1", "label")
-            more = written(_linked(named(rows, True).where("a is not null").select("a", "b").distinct(), texts), "links")
+            near = written(named(rows, True).where("a is not null").select("a", "b").distinct(), "pairs")
+            more = written(_linked(near, texts), "links")
             if more.isEmpty():
                 break
             found = written(found.unionByName(more), "links")
